@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photarium.llm.features import LETTER, LOWER
 
@@ -19,7 +20,6 @@ BUCKETS = 1 << 12
 TRAIN_ROWS = 2400
 #: Two languages whose decoding losses differ by less than this share are reported as ambiguous.
 MARGIN = 0.05
-PASS_BYTES = 1 << 21
 
 
 def code_matrix(classes: int, seed: int = 11) -> np.ndarray:
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: OutputCode | None) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # under 1 MB for a few languages
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = pickle.loads(shared.value)

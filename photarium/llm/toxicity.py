@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photarium.llm.features import Vocabulary, Words
 
@@ -252,7 +253,7 @@ def score(docs: DataFrame, model: Network | None, text_col: str = "text", name:
     """
     docs = docs.drop(name) if name in docs.columns else docs
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # some 2 MB at most
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType(list(docs.schema.fields)).add(name, "double")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(shared.value)
