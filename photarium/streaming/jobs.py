@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +18,10 @@ from photarium.operators.identity import incremental_assign
 
 def _committed(spark: SparkSession, out: str, schema: str, batch: int) -> DataFrame:
     """What earlier batches wrote; a replayed batch doesn't see itself."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        read = spark.read.schema(schema + ", batch long").parquet(out)
+    except AnalysisException:  # the first batch: nothing is written yet
         return spark.createDataFrame([], schema)
-    read = spark.read.schema(schema + ", batch long").parquet(out)
     return read.where(F.col("batch") < batch).drop("batch")
 
 
