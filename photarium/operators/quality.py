@@ -19,12 +19,17 @@ def _weighted(weights: dict[str, float]) -> Column:
     return out
 
 
+def _tidy(x: Column) -> Column:
+    """Four decimals; a tie goes up whatever the last bit of the sum is."""
+    return F.round(x + 1e-9, 4)
+
+
 def quality_scores(metrics: DataFrame, model: str | None = None) -> DataFrame:
     """Adds technical, aesthetic and score; ``model`` names an optional column from 0 to 1 blended 0.55 / 0.45."""
     heuristic = _weighted(AESTHETIC)
     aesthetic = heuristic if model is None else F.when(F.col(model).isNotNull(), 0.55 * F.col(model) + 0.45 * heuristic).otherwise(heuristic)
-    out = metrics.withColumns({"technical": F.round(_weighted(TECHNICAL), 4), "aesthetic": F.round(aesthetic, 4)})
-    return out.withColumn("score", F.round(_weighted(TOTAL), 4))
+    out = metrics.withColumns({"technical": _tidy(_weighted(TECHNICAL)), "aesthetic": _tidy(aesthetic)})
+    return out.withColumn("score", _tidy(_weighted(TOTAL)))
 
 
 def pick_reason(group_size: Column) -> Column:

@@ -378,14 +378,14 @@ ms AS (SELECT vec_id, label, mean, sqrt(list_sum(list_transform(p, lambda x: (x
 mt AS (SELECT vec_id, label, round(greatest(0.0, least(1.0, CASE WHEN abs(mean - 118) <= 70 THEN 1 - abs(mean - 118) / 90 ELSE 0.25 - (abs(mean - 118) - 70) / 800 END)), 4) AS exposure,
   round(greatest(0.0, least(1.0, CASE WHEN abs(std - 55) <= 35 THEN 1 - abs(std - 55) / 45 ELSE 0.25 - (abs(std - 55) - 35) / 600 END)), 4) AS contrast,
   (vec_id * 31 % 100) / 100 AS sharpness, (vec_id * 17 % 100) / 100 AS saturation, (vec_id * 7 % 100) / 100 AS edge FROM ms),
-ta AS (SELECT *, round(0.0 + 0.35::DOUBLE * sharpness + 0.25::DOUBLE * exposure + 0.15::DOUBLE * contrast + 0.10::DOUBLE * saturation + 0.15::DOUBLE * edge, 4) AS technical,
-  round(0.0 + 0.40::DOUBLE * sharpness + 0.25::DOUBLE * exposure + 0.20::DOUBLE * edge + 0.10::DOUBLE * contrast + 0.05::DOUBLE * saturation, 4) AS aesthetic FROM mt),
-qs AS (SELECT *, round(0.0 + 0.55::DOUBLE * aesthetic + 0.45::DOUBLE * technical, 4) AS score FROM ta)"""
+ta AS (SELECT *, round(0.0 + 0.35::DOUBLE * sharpness + 0.25::DOUBLE * exposure + 0.15::DOUBLE * contrast + 0.10::DOUBLE * saturation + 0.15::DOUBLE * edge + 1e-9, 4) AS technical,
+  round(0.0 + 0.40::DOUBLE * sharpness + 0.25::DOUBLE * exposure + 0.20::DOUBLE * edge + 0.10::DOUBLE * contrast + 0.05::DOUBLE * saturation + 1e-9, 4) AS aesthetic FROM mt),
+qs AS (SELECT *, round(0.0 + 0.55::DOUBLE * aesthetic + 0.45::DOUBLE * technical + 1e-9, 4) AS score FROM ta)"""
 
 
-@query(f"WITH {_QUALITY} SELECT vec_id, exposure, contrast, round(technical, 3) AS technical, round(aesthetic, 3) AS aesthetic, round(score, 3) AS score FROM qs")
+@query(f"WITH {_QUALITY} SELECT vec_id, exposure, contrast, technical, aesthetic, score FROM qs")
 def quality_scores(spark, d):
-    return quality.quality_scores(_metrics(spark, d)).select("vec_id", "exposure", "contrast", *(F.round(c, 3).alias(c) for c in ("technical", "aesthetic", "score")))
+    return quality.quality_scores(_metrics(spark, d)).select("vec_id", "exposure", "contrast", "technical", "aesthetic", "score")
 
 
 @query(f"""WITH {_QUALITY}, gr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, sharpness DESC, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS gn FROM qs WHERE vec_id % 2 = 0),
