@@ -82,8 +82,8 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), w -> w <> '') AS ws FROM documents),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), w -> w <> '') AS ws FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '') AS ws FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '') AS ws FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM dw WHERE len(ws) > 0)),
 its AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)),
 n AS (SELECT item_id, count(*) AS item_shingles FROM its GROUP BY item_id),
