@@ -84,57 +84,70 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
 
 
-def disclosing_terms(docs: DataFrame, pii: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    return df.select(F.explode(F.split(F.col(text_col), "[\r\n]+")).alias("line"))
+
+
+def disclosing_terms(docs: DataFrame, holders: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``value, term, score``: terms that reveal a protected entity.
 
     The unit of co-occurrence is the distinct line, so copies of a document or
-    of a passage count once. With p(.) the share of lines that hold something,
-    PMI(t; e) = log p(t, e) / (p(t) p(e)) and the entity's information is
-    IC(e) = -log p(e); a term discloses e if PMI >= ``disclosure`` * IC and
-    ``support`` distinct lines hold both. Counts cover the whole corpus: terms
-    of entity lines are candidates, and only those are counted elsewhere.
+    of a passage count once; no base pattern crosses a line end. With p(.) the
+    share of lines that hold something, PMI(t; e) = log p(t, e) / (p(t) p(e)) and
+    the entity's information is IC(e) = -log p(e); a term discloses e if PMI >=
+    ``disclosure`` * IC and ``support`` distinct lines hold both.
 
-    ``docs``: text; ``pii``: (value, text) of the rows that hold the entity.
-    """
-    def lines(df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, F.explode(F.split(F.col(text_col), "[\r\n]+")).alias("line"))
+    Counts cover the whole corpus. Only terms of entity lines are counted
+    elsewhere, and of those only the ones that can still disclose: a score at
+    the threshold needs n_t <= n_te (n / n_e) ** (1 - disclosure), so a sketch of
+    every candidate's line count first rules out terms of more than twice that.
 
-    held = lines(pii, "value").where(F.instr("line", F.col("value")) > 0).distinct()
-    held = materialize(held.withColumn("lines_e", F.lit(1)), "entity-lines")
+    ``docs``: all texts; ``holders``: the rows of ``docs`` that hold an entity.
+    """
+    held = base_spans(_lines(holders, text_col).distinct(), "line").where(F.size("pii") > 0)
+    held = held.select("line", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("value"))
+    held = materialize(held, "entity-lines")
     entities = held.groupBy("value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     joint = held.join(entities, "value").select("value", "n_e", F.explode(_terms(F.replace(F.col("line"), F.col("value"), F.lit(" ")))).alias("term")).groupBy("value", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    joint = materialize(joint, "joint-terms")
-    candidates = joint.select("term").distinct()
-    hint = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda df: df)
-    words = lines(docs).select(F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).join(hint(candidates), "term")
-    n_t = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = lines(docs).agg(F.approx_count_distinct(F.xxhash64("line"), 0.01).alias("n"))
-    scored = joint.join(n_t, "term").crossJoin(F.broadcast(total))  # one row
-    n = F.greatest(F.col("n"), F.col("n_e")).cast("double")
-    pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return scored.withColumn("score", F.least(F.lit(1.0), pmi / F.log(n / F.col("n_e")))).where(F.col("score") >= disclosure).select("value", "term", "score")
+    n = F.approx_count_distinct(F.xxhash64("line"), 0.01)
+    total = F.greatest(F.lit(1.0), F.lit(float(_lines(docs, text_col).agg(n.alias("n")).first()["n"])))
+    lines_all = F.greatest(total, F.col("n_e").cast("double"))
+    most = F.col("n_te") * F.pow(lines_all / F.col("n_e"), F.lit(1 - disclosure))
+    joint = materialize(joint.withColumn("most", most), "joint-terms")
+
+    def counted(terms: DataFrame) -> DataFrame:
+        hint = F.broadcast if terms.count() <= BROADCAST_ROWS else (lambda df: df)
+        return _lines(docs, text_col).select(F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).join(hint(terms), "term")
+
+    candidates = materialize(joint.groupBy("term").agg(F.max("most").alias("most")), "terms")
+    rare = materialize(counted(candidates).groupBy("term", "most").agg(F.approx_count_distinct("line").alias("about")).where("about <= 2 * most").select("term"), "rare-terms")
+    n_t = counted(rare).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pmi = F.log(F.col("n_te") * lines_all / (F.col("n_t") * F.col("n_e")))
+    scored = joint.join(n_t, "term").withColumn("score", F.least(F.lit(1.0), pmi / F.log(lines_all / F.col("n_e"))))
+    return scored.where(F.col("score") >= disclosure).select("value", "term", "score")
 
 
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, pii, terms`` (+ ``keep``): base spans and spans of disclosing terms.
 
     Terms are marked in documents that hold the entity they disclose; the rest
-    of the corpus only lends its counts. Null text counts as empty, null ids get
-    base spans only, rows that share an id share their terms, and texts without
-    personal data get none.
+    of the corpus only lends its counts. Only rows with personal data are
+    written and joined; all others pass by. Null text counts as empty, null ids
+    get base spans only, rows that share an id share their terms, and texts
+    without personal data get none.
     """
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     spans = base_spans(rows)
-    held = materialize(spans.where(F.size("pii") > 0).select("doc_id", "text", F.array_distinct(F.transform("pii", lambda s: s["value"])).alias("values")), "holders")
-    pairs = held.select("doc_id", "text", F.explode("values").alias("value"))
-    flagged = disclosing_terms(rows.where("text IS NOT NULL"), pairs)
-    own = pairs.select("doc_id", "value").join(flagged, "value").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("flagged"))
-    marked = spans.join(own, "doc_id", "left")
+    clean = spans.where(F.size("pii") == 0).withColumn("terms", none)
+    holders = materialize(spans.where(F.size("pii") > 0), "holders")
+    flagged = disclosing_terms(rows.where("text IS NOT NULL"), holders)
+    own = holders.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("value")).join(flagged, "value").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("flagged"))
+    marked = holders.join(own, "doc_id", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("flagged", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     text = F.translate(F.col("text"), OPEN + CLOSE, NEUTRAL * 2)
     outside = F.filter(_spans(text, pattern), lambda t: ~F.exists(F.col("pii"), lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    return marked.withColumn("terms", F.when(F.col("flagged").isNull(), none).otherwise(outside)).drop("flagged")
+    return clean.union(marked.withColumn("terms", F.when(F.col("flagged").isNull(), none).otherwise(outside)).drop("flagged"))
 
 
 def _listed(spans: Column) -> Column:
