@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
-#: Words kept in each of two generations.
+#: Parts and pieces kept in each of two generations.
 CACHE_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 _loaded: dict[str, "WordTokenizer"] = {}
@@ -17,6 +18,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Parts of plain letters, digits and signs, which normalisation only lower-cases.
+_PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+#: The tokenizer's own cut of such a part (fixed value).
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+
+
+class _Generations:
+    """A dict of recent entries that forgets those unused for two rounds of ``size``."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that neither generation holds; old ones move to the young."""
+        lost = []
+        for k in keys.difference(self.young):
+            v = self.old.get(k)
+            if v is None:
+                lost.append(k)
+            else:
+                self.young[k] = v
+        return lost
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes.
 
@@ -24,8 +53,10 @@ class WordTokenizer:
     ids of a text are those of its blank-separated parts in a row; each distinct
     part is encoded once while it stays in the cache. Only the ASCII blanks and
     line ends are used as cuts; any other white space stays inside a part, where
-    the tokenizer sees it. Worker processes are reused, so the cache outlives a
-    task; it holds two generations of CACHE_WORDS parts.
+    the tokenizer sees it. Parts of plain characters are cut further into the
+    pieces the tokenizer merges within, so that a word is merged once whatever
+    its capitals and punctuation. Worker processes are reused, so the caches
+    outlive a task; each holds two generations.
     """
 
     def __init__(self, path: str):
@@ -33,37 +64,38 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        fresh = []
-        for w in parts:
-            ids = self.old.get(w)
-            if ids is None:
-                fresh.append(w)
+        self.parts, self.pieces = _Generations(CACHE_WORDS), _Generations(CACHE_WORDS)
+
+    def _encode(self, some: list[str]):
+        for k in range(0, len(some), 4096):
+            batch = some[k : k + 4096]
+            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+                yield w, pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _learn(self, fresh: list[str]) -> None:
+        cut, odd = {}, []
+        for w in fresh:
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                cut[w] = _PIECES.findall(w.lower())
             else:
-                self.young[w] = ids
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                odd.append(w)
+        self.pieces.turn()
+        self.pieces.young.update(self._encode(self.pieces.missing(set().union(*cut.values()))))
+        find, young = self.pieces.young.__getitem__, self.parts.young
+        for w, pieces in cut.items():
+            young[w] = find(pieces[0]) if len(pieces) == 1 else b"".join(map(find, pieces))
+        young.update(self._encode(odd))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_CUTS).split(" ") if _CUT.search(t) else t.split(" ") for t in texts]
-        missing = set().union(*split).difference(self.young)
-        if missing:
-            self._learn(list(missing))
-        find = self.young.__getitem__
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.parts.turn()
+        fresh = self.parts.missing(set().union(*split))
+        if fresh:
+            self._learn(fresh)
+        find = self.parts.young.__getitem__
         return [b"".join(map(find, parts)) for parts in split]
 
 
-_CUTS = {9: " ", 10: " ", 13: " "}
-_CUT = re.compile("[\t\n\r]")
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
