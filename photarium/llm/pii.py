@@ -161,7 +161,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     columns, rows and null texts stay.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(1).alias("_"), *others).alias("rest"))
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(1).alias("none"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others))).alias("rest"))
     found = sanitise_spans(kept, "doc_id", "text", ("rest",))
     spans = F.array_sort(F.transform(F.concat("pii", _of_kind("term", F.col("terms"))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
 
@@ -173,7 +173,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     text = F.when(F.size(spans) == 0, F.col("text")).otherwise(clean)
-    out = {id_col: F.col("doc_id"), text_col: text} | {c: F.col("rest")[c] for c in others}
+    out = {id_col: F.col("doc_id"), text_col: text} | {c: F.col("rest")[f"c{k}"] for k, c in enumerate(others)}
     return found.select(*(out[c].alias(c) for c in docs.columns))
 
 
