@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
         for batch in it:
             at, out = 0, []
             ids = batch.column(0).to_pylist()
-            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in slices(t.as_py() for t in batch.column(1)):
                 for data in encoder.encode(texts):
                     data += end
                     for p, k in enumerate(range(0, len(data), 4 * capacity)):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from struct import pack
 
-#: Parts and pieces kept in each of two generations.
+#: Parts and pieces, together, kept in each of two generations.
 CACHE_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 _loaded: dict[str, "WordTokenizer"] = {}
@@ -55,8 +56,8 @@ class WordTokenizer:
     line ends are used as cuts; any other white space stays inside a part, where
     the tokenizer sees it. Parts of plain characters are cut further into the
     pieces the tokenizer merges within, so that a word is merged once whatever
-    its capitals and punctuation. Worker processes are reused, so the caches
-    outlive a task; each holds two generations.
+    its capitals and punctuation. A piece is a part too, so one cache holds both.
+    Worker processes are reused, so the cache outlives a task.
     """
 
     def __init__(self, path: str):
@@ -64,7 +65,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.pieces = _Generations(CACHE_WORDS), _Generations(CACHE_WORDS)
+        self.parts = self.pieces = _Generations(CACHE_WORDS)
 
     def _encode(self, some: list[str]):
         for k in range(0, len(some), 4096):
@@ -79,9 +80,9 @@ class WordTokenizer:
                 cut[w] = _PIECES.findall(w.lower())
             else:
                 odd.append(w)
-        self.pieces.turn()
-        self.pieces.young.update(self._encode(self.pieces.missing(set().union(*cut.values()))))
-        find, young = self.pieces.young.__getitem__, self.parts.young
+        young = self.parts.young
+        young.update(self._encode(self.pieces.missing(set().union(*cut.values()))))
+        find = young.__getitem__
         for w, pieces in cut.items():
             young[w] = find(pieces[0]) if len(pieces) == 1 else b"".join(map(find, pieces))
         young.update(self._encode(odd))
@@ -102,12 +103,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def slices(texts: list[str], size: int = 1 << 20):
-    """Runs of rows of about ``size`` characters."""
+def slices(texts: Iterable[str | None], size: int = 1 << 20):
+    """Runs of rows of about ``size`` characters; null counts as empty."""
     rows, total = [], 0
     for t in texts:
-        rows.append(t)
-        total += len(t)
+        rows.append(t or "")
+        total += len(rows[-1])
         if total >= size:
             yield rows
             rows, total = [], 0
