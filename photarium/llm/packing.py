@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photarium.llm.tokens import slices, tokenizer_path, word_tokenizer
+from photarium.llm.tokens import slices, text_batches, tokenizer_path, word_tokenizer
 from photarium.sources.scratch import materialize
 
 CAPACITY = 4096
@@ -117,7 +117,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``docs``."""
-    return pack(materialize(token_pieces(docs, capacity), "pieces"), capacity).drop("row")
+    with text_batches(docs.sparkSession):
+        pieces = materialize(token_pieces(docs, capacity), "pieces")
+    return pack(pieces, capacity).drop("row")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.tokens import slices, tokenizer_path, word_tokenizer
+from photarium.llm.tokens import slices, text_batches, tokenizer_path, word_tokenizer
 from photarium.sources.scratch import materialize, scratch_path
 
 SEQUENCE = 2048
@@ -137,7 +137,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     # Some ten thousand rows a file at least, and no fewer files than Spark's own partition count once there is enough.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ranged.mapInArrow(write, "file long, doc_id long, file_start long, n_tokens long"), "token-manifest")
+    with text_batches(spark):
+        return materialize(ranged.mapInArrow(write, "file long, doc_id long, file_start long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:

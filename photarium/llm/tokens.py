@@ -5,11 +5,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from contextlib import contextmanager
 from struct import pack
 
+from pyspark.sql import SparkSession
+
 #: Parts and pieces, together, kept in each of two generations.
 CACHE_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of an Arrow batch of whole texts; both ends of the exchange hold a batch or two.
+BATCH_ROWS = 500
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -114,3 +119,15 @@ def slices(texts: Iterable[str | None], size: int = 1 << 20):
             rows, total = [], 0
     if rows:
         yield rows
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Small Arrow batches for the jobs that run inside; texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
