@@ -313,3 +313,29 @@ def test_digest_queries(spark):
         brute = brute_secrets if name == "op4_secrets" else brute_pii
         want = {i: ",".join(f"{k}:{s}:{e}" for k, s, e in brute(t)) for i, t in texts(spark.read.parquet(f"{DIR}/documents.parquet")).items()}
         assert all(r["base_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest() for r in rows)
+
+
+def test_near_copies(spark, docs):
+    """The pipeline keeps no two documents of five-word Jaccard 0.8, against brute force."""
+    from photarium.llm import stages
+
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    want = texts(docs)
+    ids = sorted(i for i in want if want[i].split())
+    sets = {i: grams(want[i]) for i in ids}
+    label = {i: i for i in ids}
+    near = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in ids:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    empty = {i for i in want if not want[i].split()}
+    edited = [(a, b) for a, b in near if (brute_simhash(want[a]) ^ brute_simhash(want[b])).bit_count() > 2]
+    assert edited
+    assert {r["doc_id"] for r in stages.drop_near_copies(spark, docs, DIR).collect()} == set(label.values()) | empty
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, DIR).select("doc_id").distinct().collect()}
+    assert packed and not any(a in packed and b in packed for a, b in near)
+    none = stages.drop_near_copies(spark, docs.limit(0), DIR)
+    assert none.count() == 0 and none.columns == docs.columns
