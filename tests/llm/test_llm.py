@@ -339,3 +339,13 @@ def test_near_copies(spark, docs):
     assert packed and not any(a in packed and b in packed for a, b in near)
     none = stages.drop_near_copies(spark, docs.limit(0), DIR)
     assert none.count() == 0 and none.columns == docs.columns
+
+
+def test_copies_shared_id(spark):
+    """Different texts under one id are decided one by one; repeats of a row leave one."""
+    from photarium.llm import stages
+
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(3, b), (5, a), (5, b), (6, a), (7, c), (7, "another clean text"), (8, "twice"), (8, "twice"), (None, b), (None, None), (9, None)]
+    got = stages.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, b), (5, a), (7, c), (7, "another clean text"), (8, "twice"), (None, b), (None, None), (9, None)]))
