@@ -18,10 +18,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-#: name, separator and literal of ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, ``export NAME=x``.
+#: name, separator and literal of ``name = "x"``, ``name: x``, ``name: type = "x"``, ``"name": "x"``, ``name := x``, ``name => x``, ``export NAME=x``.
+#: No length is bounded: runs are possessive, and the look-behind starts each of them once.
+#: ``next`` is what makes a bare value a name of its own: an assignment sign behind it.
+SIGN = r"""(?::=|=>|=(?![=>])|:(?![:/=]))"""
+BRACKETS = r"""(?:\[[A-Za-z0-9_.,|\x20]*+(?:\[[A-Za-z0-9_.,|\x20]*+\][A-Za-z0-9_.,|\x20]*+)?+\])?+"""
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,63})["']?[\x20\t]{0,8}(?::=|=>|=(?![=>])|:(?![:/=]))[\x20\t]{0,8}
-    (?:(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\r\n]){1,4096})(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=@!%^&*~-]{1,4096}))""",
+    rf"""(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+){BRACKETS}["']?[\x20\t]*+{SIGN}[\x20\t]*+
+    (?:(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\r\n])++)(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=@!%^&*~-]++)(?=(?P<next>{BRACKETS}["']?[\x20\t]*+{SIGN}|(?<==)["'`])?))""",
     re.VERBOSE | re.ASCII,
 )
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -53,24 +57,36 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
 
     Name-literal pairs are lexed first. A bare value that is itself an assigned
     name is a reference: the name's literal inherits the target's score, along
-    any chain of names, so ``K = "x9..."`` scores for ``password = K``.
+    any chain of names, so ``K = "x9..."`` scores for ``password = K``. A bare
+    value that is itself assigned to (a type, a chain, a remark before a name)
+    passes its name on to the literal behind it.
     The last assignment before a use wins, as in program order.
     """
     if "=" not in text and ":" not in text:
         return []
     bound: dict[str, tuple[int, int, str]] = {}
     best: dict[tuple[int, int, str], float] = {}
-    for m in PAIR.finditer(text):
-        name = m["name"]
+    names: list[str] = []
+    at = 0
+    while m := PAIR.search(text, at):
+        if m.start() != at:
+            names = []
+        names.append(m["name"])
         quoted = m["quoted"] is not None
         group = "quoted" if quoted else "bare"
         start, stop, value = m.start(group), m.end(group), m[group]
-        score = name_score(name)
         literal = (start, stop, value)
+        at = m.end()
+        if not quoted and m["next"]:
+            at = start
+            if m["next"][-1] not in ":\"'`":
+                continue  # a type or the next name of a chain: its literal follows
         if not quoted and value.lstrip("$") in bound:
             literal = bound[value.lstrip("$")]  # already followed to its literal
-        bound[name] = literal
-        best[literal] = max(best.get(literal, 0.0), score)
+        for name in names:
+            bound[name] = literal
+        best[literal] = max(best.get(literal, 0.0), *map(name_score, names))
+        names = names[-1:] if at == start else []
     return [("literal", s, e) for (s, e, value), score in best.items() if score > 0 and score + literal_score(value) * 0.6 >= threshold and literal_score(value) > 0.35]
 
 

@@ -349,3 +349,16 @@ def test_copies_shared_id(spark):
     rows = [(3, b), (5, a), (5, b), (6, a), (7, c), (7, "another clean text"), (8, "twice"), (8, "twice"), (None, b), (None, None), (9, None)]
     got = stages.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, b), (5, a), (7, c), (7, "another clean text"), (8, "twice"), (None, b), (None, None), (9, None)]))
+
+
+def test_secret_lengths_and_types():
+    """Long blanks, names and literals, types and remarks before a name don't hide a literal."""
+    x = "zX81-qpLm7T2vR9w#"
+    found = lambda text: [text[s:e] for _, s, e in secrets.literal_spans(text)]
+    for text in ('db_pwd          = "{}"', 'db_pwd =\t\t\t\t\t\t\t\t\t\t"{}"', "a" * 70 + '_password = "{}"', 'db_pwd: str = "{}"', 'const pwd: string = "{}"', 'db_pwd:str="{}"', 'pwd: Optional[str] = "{}"', 'Note: db_pwd = "{}"', 'pwd = alias = "{}"', 'password="{}"'):
+        assert found(text.format(x)) == [x], text
+    long, bare = "zX81-qpLm7T2vR9w" * 300, "zX81qpLm7T2vR9w" * 300
+    assert found(f'db_pwd = "{long}"') == [long] and found(f"db_pwd = {bare}\n") == [bare]
+    assert found('"password=zX81qpLm7T2vR9w="') == ["zX81qpLm7T2vR9w="] and found("password: zX81qpLm7T2vR9w: it") == ["zX81qpLm7T2vR9w"]
+    for part in ("a[", "a=", 'a="', "a: ", "a ", "a=\\", "pwd: a = ", "x" * 9 + "\t", "a:'"):
+        secrets.literal_spans(part * 50_000 + "=")
