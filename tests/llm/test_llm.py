@@ -362,3 +362,23 @@ def test_secret_lengths_and_types():
     assert found('"password=zX81qpLm7T2vR9w="') == ["zX81qpLm7T2vR9w="] and found("password: zX81qpLm7T2vR9w: it") == ["zX81qpLm7T2vR9w"]
     for part in ("a[", "a=", 'a="', "a: ", "a ", "a=\\", "pwd: a = ", "x" * 9 + "\t", "a:'"):
         secrets.literal_spans(part * 50_000 + "=")
+
+
+def test_embedding_recall_any_size():
+    """A pair at the threshold keeps its recall whatever the row count."""
+    from math import comb
+
+    for threshold in (0.9, 0.7):
+        for n in (1, 100, 12_288, 786_432, 3_000_000, 100_000_000, 10**10):
+            bits, tables = embeddings.plan(n, threshold)
+            need, p = embeddings.Projections(4, bits, threshold, tables).need, embeddings.collision(bits, threshold)
+            assert tables <= embeddings.MOST_TABLES
+            assert 1 - sum(comb(tables, c) * p**c * (1 - p) ** (tables - c) for c in range(need)) >= embeddings.RECALL - 1e-9, n
+    assert embeddings.plan(57_000, 0.9)[1] == embeddings.TABLES
+
+
+def test_embedding_lengths(spark):
+    """Vectors of each length are linked among themselves."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 0.1]), (5, [1.0, 0.0]), (6, [0.0, 1.0]), (7, [1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
