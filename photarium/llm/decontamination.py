@@ -9,8 +9,8 @@ from photarium.sources.scratch import materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Rows of item sketches that may be broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of item sketches (24 bytes each) and bytes of item shingles that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def _words(text: Column) -> Column:
@@ -29,8 +29,8 @@ def _shingles(words: Column, width: int = WIDTH) -> Column:
 
 
 def _exploded(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """One row per shingle with columns w0.. and their hash h."""
-    rows = df.select(*keep, _words(F.col(text_col)).alias("words")).select(*keep, F.explode(_shingles(F.col("words"))).alias("s"))
+    """One row per shingle with columns w0.., and their hash h."""
+    rows = df.select(*keep, _shingles(_words(F.col(text_col))).alias("all")).select(*keep, F.explode("all").alias("s"))
     parts = [F.col(f"s.w{k}").alias(f"w{k}") for k in range(WIDTH)]
     return rows.select(*keep, *parts).withColumn("h", F.xxhash64(*(f"w{k}" for k in range(WIDTH))))
 
@@ -48,7 +48,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     shingles of the item, so it has one of any k of them, the k smallest hashes
     included: candidate search by sketch lookup has full recall whatever the
     length of the document, which MinHash of the whole document can't give.
-    Candidates are then verified on the words themselves, not on hashes.
+    Each class has its own k and thus its own part of the lookup table. Candidates
+    are then verified on the words themselves, not on hashes.
 
     Rows that share an id count as one document. Null and empty texts and items
     without words match nothing. Extra columns are ignored.
@@ -70,7 +71,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     suspects = rows.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     item_rows = item_shingles.drop("h")
-    hint = F.broadcast if item_rows.count() <= BROADCAST_ROWS else (lambda df: df)
+    size = item_rows.agg(F.count("*").alias("n"), F.sum(sum(F.octet_length(w) + 24 for w in words)).alias("size")).first()
+    hint = F.broadcast if size["n"] <= BROADCAST_ROWS and (size["size"] or 0) <= BROADCAST_BYTES else (lambda df: df)
     found = _exploded(suspects, ["doc_id"], "text").drop("h").join(hint(item_rows), words).select("doc_id", "item_id", *words).distinct()
     shared = found.join(candidates, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     counted = shared.join(sizes.select("item_id", "item_shingles"), "item_id")

@@ -19,6 +19,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs, about; each group leaves a few sequences unfilled.
 GROUP = 40_000
+#: Places (32 bytes each) that are broadcast to the pieces' ids; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -75,23 +77,26 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     tokenizer = tokenizer or tokenizer_path()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, seen = word_tokenizer(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 40
+        encoder, seen = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 40
         for batch in it:
-            at, out = 0, []
-            ids = batch.column(0).to_pylist()
+            at = 0
             for texts in slices(t.as_py() for t in batch.column(1)):
-                for data in encoder.encode(texts):
-                    data += end
-                    for p, k in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[k : k + 4 * capacity]
-                        out.append((seen + at, ids[at], p, k // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                    at += 1
+                tokens, cuts = encoder.encode_flat(texts)
+                data = np.insert(tokens, cuts[1:], end_id).astype("<u4").tobytes()
+                stops = cuts + np.arange(len(cuts))
+                size = np.diff(stops)
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(size[row] - piece * capacity, capacity)
+                first = 4 * (stops[row] + piece * capacity)
+                part = [data[i:j] for i, j in zip(first.tolist(), (first + 4 * length).tolist())]
+                columns = [pa.array(seen + at + row), batch.column(0).take(pa.array(at + row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(map(zlib.crc32, part), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(part, pa.binary())] if with_ids else [])], names=names)
+                at += len(texts)
             seen += at
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
 
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    arrow = pa.schema(list(zip(names, kinds)))
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
@@ -115,11 +120,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return dealt.groupBy("pack_group").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``docs``."""
+def packed_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids`` if asked) of every piece of ``docs``.
+
+    Null text is an empty document, which is one piece of the end id; rows with
+    null or repeated ids are packed as rows of their own; long texts are cut into
+    pieces; extra columns are ignored; an empty table gives no rows. ``ids``
+    holds little-endian unsigned 32-bit numbers; they stay where they were
+    encoded while the places of all pieces can be broadcast.
+    """
     with text_batches(docs.sparkSession):
-        pieces = materialize(token_pieces(docs, capacity), "pieces")
-    return pack(pieces, capacity).drop("row")
+        pieces = materialize(token_pieces(docs, capacity, with_ids=with_ids), "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    if with_ids:
+        places = materialize(placed.select("row", "piece", "sequence_id", "offset"), "places")
+        placed = pieces.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, ["row", "piece"])
+    return placed.drop("row")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,10 +22,12 @@ KINDS = tuple(PATTERNS)
 
 #: A term discloses an entity if its pointwise mutual information reaches this share of the entity's information.
 DISCLOSURE = 0.8
-#: Distinct lines that must show entity and term together.
-SUPPORT = 3
-#: Rows of candidate terms that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Scores are multiplied by n / (n + SMOOTHING), n being the distinct lines with entity and term: one line alone never discloses, two do for a term seen nearly nowhere else.
+SMOOTHING = 1 / 3
+#: Lines of one hash slice in SLICES give a lower bound of a term's line count.
+SLICES = 16
+#: Rows and characters of candidate terms that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 16_000_000
 
 
 def _digits(x: Column) -> Column:
@@ -70,7 +72,9 @@ def _of_kind(kind: str, spans: Column) -> Column:
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``pii``: spans of the four base kinds, by kind and then start.
 
-    ``array<struct<kind, start, stop, value>>``; null text counts as empty.
+    ``array<struct<kind, start, stop, value>>``; null text counts as empty. One
+    row per row; texts are searched whole, however long; columns of any name
+    stay, but for ``pii``, which is replaced; an empty table stays empty.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, NEUTRAL * 2)
     each = [_of_kind(kind, F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))) for kind in KINDS]  # noqa: B023
@@ -80,50 +84,61 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _terms(line: Column) -> Column:
-    """Distinct lower-case words of three letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    """Distinct lower-case runs of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def _lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.explode(F.split(F.col(text_col), "[\r\n]+")).alias("line"))
 
 
-def disclosing_terms(docs: DataFrame, holders: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _small(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if few and short."""
+    found = terms.agg(F.count("*").alias("n"), F.sum(F.length("term")).alias("chars")).first()
+    return F.broadcast(terms) if found["n"] <= BROADCAST_ROWS and (found["chars"] or 0) <= BROADCAST_CHARS else terms
+
+
+def disclosing_terms(docs: DataFrame, holders: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``value, term, score``: terms that reveal a protected entity.
 
     The unit of co-occurrence is the distinct line, so copies of a document or
     of a passage count once; no base pattern crosses a line end. With p(.) the
     share of lines that hold something, PMI(t; e) = log p(t, e) / (p(t) p(e)) and
-    the entity's information is IC(e) = -log p(e); a term discloses e if PMI >=
-    ``disclosure`` * IC and ``support`` distinct lines hold both.
+    the entity's information is IC(e) = -log p(e), the score is PMI / IC, shrunk
+    by n_te / (n_te + ``smoothing``); a term discloses e from ``disclosure`` on.
 
-    Counts cover the whole corpus. Only terms of entity lines are counted
-    elsewhere, and of those only the ones that can still disclose: a score at
-    the threshold needs n_t <= n_te (n / n_e) ** (1 - disclosure), so a sketch of
-    every candidate's line count first rules out terms of more than twice that.
+    All counts are exact (lines by 64-bit hash) and cover the whole corpus. Only
+    terms of entity lines are counted elsewhere, and of those only the ones that
+    can still disclose: the threshold bounds n_t, and a term with more lines than
+    that in one hash slice of the lines has more in all.
 
     ``docs``: all texts; ``holders``: the rows of ``docs`` that hold an entity.
     """
     held = base_spans(_lines(holders, text_col).distinct(), "line").where(F.size("pii") > 0)
     held = held.select("line", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("value"))
     held = materialize(held, "entity-lines")
-    entities = held.groupBy("value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    joint = held.join(entities, "value").select("value", "n_e", F.explode(_terms(F.replace(F.col("line"), F.col("value"), F.lit(" ")))).alias("term")).groupBy("value", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    n = F.approx_count_distinct(F.xxhash64("line"), 0.01)
-    total = F.greatest(F.lit(1.0), F.lit(float(_lines(docs, text_col).agg(n.alias("n")).first()["n"])))
-    lines_all = F.greatest(total, F.col("n_e").cast("double"))
-    most = F.col("n_te") * F.pow(lines_all / F.col("n_e"), F.lit(1 - disclosure))
+    shrunk = lambda n: n / (n + smoothing)
+    # A score never exceeds its factor, so rarer pairs can't reach the threshold.
+    entities = held.groupBy("value").agg(F.count("*").alias("n_e")).where(shrunk(F.col("n_e")) >= disclosure)
+    joint = held.join(entities, "value").select("value", "n_e", F.explode(_terms(F.replace(F.col("line"), F.col("value"), F.lit(" ")))).alias("term"))
+    joint = joint.groupBy("value", "n_e", "term").agg(F.count("*").alias("n_te")).where(shrunk(F.col("n_te")) >= disclosure)
+    total = float(_lines(docs, text_col).select(F.xxhash64("line").alias("line")).distinct().count())
+    lines_all = F.greatest(F.lit(total), F.lit(1.0))
+    most = F.col("n_te") * F.pow(lines_all / F.col("n_e"), 1 - disclosure / shrunk(F.col("n_te")))
     joint = materialize(joint.withColumn("most", most), "joint-terms")
 
-    def counted(terms: DataFrame) -> DataFrame:
-        hint = F.broadcast if terms.count() <= BROADCAST_ROWS else (lambda df: df)
-        return _lines(docs, text_col).select(F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).join(hint(terms), "term")
+    def counted(terms: DataFrame, lines: DataFrame) -> DataFrame:
+        """``term, n_t``: distinct lines of each term."""
+        found = lines.select("hash", F.explode(_terms(F.col("line"))).alias("term")).join(_small(terms), "term")
+        return found.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
 
+    lines = _lines(docs, text_col).select("line", F.xxhash64("line").alias("hash"))
     candidates = materialize(joint.groupBy("term").agg(F.max("most").alias("most")), "terms")
-    rare = materialize(counted(candidates).groupBy("term", "most").agg(F.approx_count_distinct("line").alias("about")).where("about <= 2 * most").select("term"), "rare-terms")
-    n_t = counted(rare).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    least = counted(candidates.select("term"), lines.where(F.pmod("hash", F.lit(SLICES)) == 0))
+    rare = materialize(candidates.join(least, "term", "left").where(F.coalesce("n_t", F.lit(0)) <= F.col("most") + 1e-6).select("term"), "rare-terms")
     pmi = F.log(F.col("n_te") * lines_all / (F.col("n_t") * F.col("n_e")))
-    scored = joint.join(n_t, "term").withColumn("score", F.least(F.lit(1.0), pmi / F.log(lines_all / F.col("n_e"))))
+    # An entity on every line carries no information, and nothing discloses it.
+    scored = joint.join(counted(rare, lines), "term").where(F.col("n_e") < lines_all).withColumn("score", shrunk(F.col("n_te")) * F.least(F.lit(1.0), pmi / F.log(lines_all / F.col("n_e"))))
     return scored.where(F.col("score") >= disclosure).select("value", "term", "score")
 
 
@@ -142,7 +157,10 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clean = spans.where(F.size("pii") == 0).withColumn("terms", none)
     holders = materialize(spans.where(F.size("pii") > 0), "holders")
     flagged = disclosing_terms(rows.where("text IS NOT NULL"), holders)
-    own = holders.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("value")).join(flagged, "value").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("flagged"))
+    own = holders.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("value")).join(flagged, "value").select("doc_id", "term").distinct()
+    # No document's list is longer than its text.
+    words = holders.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
+    own = own.join(words, ["doc_id", "term"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("flagged"))
     marked = holders.join(own, "doc_id", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("flagged", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     text = F.translate(F.col("text"), OPEN + CLOSE, NEUTRAL * 2)

@@ -33,7 +33,11 @@ def simhash(text: bytes, width: int = 3) -> int:
     joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     last = ends[width - 1 :] or ends[-1:]
-    hashes = np.array([xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, last)], dtype="<u8")
+    return majority_bits(np.array([xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, last)], dtype="<u8"))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
@@ -74,8 +78,13 @@ def _coordinates(segment: int) -> "F.Column":
     return out
 
 
-def cell_links(prints: np.ndarray, pivots: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint of a cell the smallest one it reaches inside the cell.
+def whole_pivots() -> np.ndarray:
+    """The reference fingerprints of the cells' distance tables."""
+    return np.array(_pivots()[1], dtype=np.uint64)
+
+
+def cell_labels(prints: np.ndarray, pivots: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each fingerprint of a cell the smallest index it reaches inside the cell.
 
     A pair goes on to the exact comparison only if no coordinate of its distances
     to the pivots differs by more than ``radius`` (triangle inequality).
@@ -87,24 +96,24 @@ def cell_links(prints: np.ndarray, pivots: np.ndarray, radius: int = RADIUS) ->
     i, j = np.nonzero(near)
     close = np.bitwise_count(prints[i] ^ prints[j]) <= radius
     i, j = i[close], j[close]
-    label = np.arange(len(prints))  # prints are sorted
+    label = np.arange(len(prints))
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
         new = new[new]
         if (new == label).all():
-            return prints[label]
+            return label
         label = new
 
 
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pivots = np.array(_pivots()[1], dtype=np.uint64)
+    pivots = whole_pivots()
     for batch in batches:
         a, b = [], []
         for cell in batch.column(0):
             prints = np.sort(np.array(cell.as_py(), dtype=np.int64)).view(np.uint64)
             prints = np.sort(prints)
-            low = cell_links(prints, pivots)
+            low = prints[cell_labels(prints, pivots)]
             moved = low != prints
             a.append(prints[moved].view(np.int64))
             b.append(low[moved].view(np.int64))

@@ -36,6 +36,8 @@ class SequenceWriter:
         self.held = 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError("an id doesn't fit the file's width: write it with wide=True")
         self.parts.append(ids.astype(self.dtype))
         self.held += len(ids)
         if self.held >= self.sequence * BATCH:
@@ -100,7 +102,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     Rows are range-partitioned by id; each task sorts its range, encodes whole
     texts, appends ``end_id`` to each and writes one file ``part-<n>.arrow``, the
     files being in order of n. A file is written under the attempt's own name
-    and then moved, so a retried task replaces it whole. Manifest columns:
+    and then moved, so a retried task replaces it whole. Ids take 16 bits if the
+    tokenizer's vocabulary allows it and ``wide`` isn't set. Manifest columns:
     ``file, doc_id, file_start, n_tokens``. Null texts count as empty; null ids
     come first; rows that share an id follow each other.
     """
@@ -114,19 +117,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         store, root = pafs.FileSystem.from_uri(folder)
         part, attempt = context.partitionId(), context.taskAttemptId()
         temporary, final = f"{root}/.{part}-{attempt}", f"{root}/part-{part:06d}.arrow"
-        end = int(end_id).to_bytes(4, "little")
         writer, start = None, 0
         for batch in it:
             ids, texts, counts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], []
             if writer is None:
+                width = wide or max(encoder.largest, end_id) > np.iinfo(np.uint16).max
                 sink = store.open_output_stream(temporary)
-                writer = SequenceWriter(sink, sequence, wide)
+                writer = SequenceWriter(sink, sequence, width)
             for rows in slices(texts):
-                for data in encoder.encode(rows):
-                    tokens = np.frombuffer(data + end, dtype="<u4")
-                    writer.add(tokens)
-                    counts.append(len(tokens))
-            n = np.array(counts, dtype=np.int64)
+                tokens, cuts = encoder.encode_flat(rows)
+                writer.add(np.insert(tokens, cuts[1:], end_id))
+                counts.append(np.diff(cuts) + 1)
+            n = np.concatenate([np.zeros(0, np.int64), *counts])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), ids, pa.array(start + np.cumsum(n) - n), pa.array(n)], names=["file", "doc_id", "file_start", "n_tokens"])
             start += int(n.sum())
         if writer is not None:

@@ -220,13 +220,13 @@ def test_crowded_bucket(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(69, 0)}
 
 
-def test_tokens_and_files(spark, docs, odd, tmp_path):
+def test_tokens_and_files(spark, docs, odd, tmp_path, monkeypatch):
     encoder = tokens.WordTokenizer(tokens.tokenizer_path())
     rng = random.Random(1)
     hard = ["", "don't I'LL 's", "İΣΑΣ x́é", "a\x0bb\x1cd\x85e\xa0f", "½²ªµ<|endoftext|>a", "日本12語", *("".join(rng.choices("aB'sT9½é.,<|> ́İß#\n\t中-_/ ", k=40)) for _ in range(500))]
     whole = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(hard, add_special_tokens=False)]
     assert encoder.encode(hard) == whole
-    encoder.parts.size = encoder.pieces.size = 50
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     assert [t for k in range(0, len(hard), 20) for t in encoder.encode(hard[k : k + 20])] == whole
 
     folder = f"file://{tmp_path}/seq"
@@ -297,9 +297,7 @@ def test_pipeline(spark, docs):
         if name != "packing":
             assert kept.columns == docs.columns
         if name == "simhash":
-            want = texts(before)
-            ids = sorted(want)
-            assert {r["doc_id"] for r in kept.collect()} == {ids[k] for k in components([brute_simhash(want[i]) for i in ids])}
+            assert {r["doc_id"] for r in kept.collect()} == brute_first_copies(texts(before))
         if name == "pii":
             want = texts(before)
             assert kept.count() == before.count() and all(not brute_pii(t) or t != want[i] for i, t in texts(kept).items())
@@ -315,38 +313,60 @@ def test_digest_queries(spark):
         assert all(r["base_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest() for r in rows)
 
 
-def test_near_copies(spark, docs):
-    """The pipeline keeps no two documents of five-word Jaccard 0.8, against brute force."""
-    from photarium.llm import stages
+def grams(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
 
-    def grams(text):
-        words = text.lower().split()
-        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
-    want = texts(docs)
-    ids = sorted(i for i in want if want[i].split())
+def brute_first_copies(want):
+    """Smallest id of each component of five-word Jaccard 0.8 or more; texts without words are copies of each other."""
+    ids = sorted(want)
     sets = {i: grams(want[i]) for i in ids}
     label = {i: i for i in ids}
     near = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     for _ in ids:
+        before = dict(label)
         for a, b in near:
             label[a] = label[b] = min(label[a], label[b])
-    empty = {i for i in want if not want[i].split()}
-    edited = [(a, b) for a, b in near if (brute_simhash(want[a]) ^ brute_simhash(want[b])).bit_count() > 2]
-    assert edited
-    assert {r["doc_id"] for r in stages.drop_near_copies(spark, docs, DIR).collect()} == set(label.values()) | empty
-    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, DIR).select("doc_id").distinct().collect()}
-    assert packed and not any(a in packed and b in packed for a, b in near)
-    none = stages.drop_near_copies(spark, docs.limit(0), DIR)
+        if label == before:
+            break
+    return set(label.values())
+
+
+@pytest.mark.parametrize("limits", [(512, 1024, 1 << 18), (2, 3, 64)])
+def test_near_copies(spark, docs, monkeypatch, limits):
+    """The stage keeps one document of each component, in small and in many blocks, hot bands included."""
+    from photarium.llm import near_copies, stages
+
+    for name, value in zip(("CELL", "BLOCK_SETS", "BLOCK_SHINGLES"), limits):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    edited = [(1000 + k, " ".join(rng.choice(["edit", w]) if rng.random() < 0.015 else w for w in base)) for k in range(40)]
+    more = spark.createDataFrame(edited, "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    assert {r["doc_id"] for r in stages.drop_copies(spark, both, DIR).collect()} == brute_first_copies(texts(both))
+    none = stages.drop_copies(spark, docs.limit(0), DIR)
     assert none.count() == 0 and none.columns == docs.columns
 
 
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Nulls, repeats, clashing columns and an empty table through every stage."""
+    for docs in (odd, odd.limit(0)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, DIR)
+            assert name == "packing" or kept.columns == docs.columns
+        ids = [r["doc_id"] for r in kept.collect()]
+        assert set(ids) == ({1, 3, 5, 6, None} if docs is odd else set())
+
+
 def test_copies_shared_id(spark):
     """Different texts under one id are decided one by one; repeats of a row leave one."""
     from photarium.llm import stages
 
     a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
-    rows = [(3, b), (5, a), (5, b), (6, a), (7, c), (7, "another clean text"), (8, "twice"), (8, "twice"), (None, b), (None, None), (9, None)]
+    rows = [(3, b), (5, a), (5, b), (6, a), (7, c), (7, "another clean text"), (8, "twice"), (8, "twice"), (None, b), (None, None), (9, None), (10, "")]
     got = stages.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, b), (5, a), (7, c), (7, "another clean text"), (8, "twice"), (None, b), (None, None), (9, None)]))
 
