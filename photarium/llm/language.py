@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photarium.llm.features import LETTER, LOWER
 
-LETTERS = re.compile(r"[^\W\d_]")
 BUCKETS = 1 << 12
 #: Labelled rows used for training, at most; each language gives up to an equal part.
 TRAIN_ROWS = 2400
+#: Longest text, in characters, that is taken for training; all texts are predicted whole.
+TRAIN_CHARS = 200_000
 #: Two languages whose decoding losses differ by less than this share are reported as ambiguous.
 MARGIN = 0.05
 
@@ -100,20 +100,27 @@ def _fold() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode | None:
-    """Fit on up to ``rows`` labelled rows outside the held-out fold, chosen by a hash of their ids."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 2)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy("lang").select("lang").collect()]  # one row a language
-    if not langs:
-        return None
-    each = max(1, rows // len(langs))
-    picked = None
-    for lang in langs:
-        some = known.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(each)
-        picked = some if picked is None else picked.union(some)
-    # At most `rows` ids: a bounded side.
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked.select("doc_id", "lang").dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    sample = sample[[bool(LETTERS.search(t)) for t in sample["text"]]]
+    """Fit on at most ``rows`` labelled rows outside the held-out fold, of up to TRAIN_CHARS characters.
+
+    Each language gives an equal part, in the order of a hash of its rows' ids
+    and then texts, so a repeated id keeps its own text and label together. Rows
+    without text or label are left out; repeats of a row count once. Nothing
+    labelled: None.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (_fold() != 2) & (F.length("text") <= TRAIN_CHARS)).select(F.xxhash64("doc_id", "lang", "text").alias("row"), "lang", F.xxhash64("doc_id").alias("h"))
+    # Spark keeps the first rows of each language in every task before it sorts, so no language meets in one.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row"))
+    first = known.withColumn("place", place).where(F.col("place") <= rows)
+    picked = first.orderBy("place", "lang").limit(rows).select("row")
+    # At most `rows` keys: a bounded side.
+    texts = docs.select("text", "lang", F.xxhash64("doc_id", "lang", "text").alias("row")).join(F.broadcast(picked.distinct()), "row").groupBy("row").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    sample = texts.toPandas().sort_values("row")
+    sample = sample[[has_letter(t) for t in sample["text"]]]
     return OutputCode(list(sample["text"]), list(sample["lang"])) if len(sample) else None
 
 
@@ -132,7 +139,7 @@ def identify(docs: DataFrame, model: OutputCode | None) -> DataFrame:
         for batch in it:
             texts = batch.column("text").to_pylist()
             lang, value, flag = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            rows = [k for k, t in enumerate(texts) if code and t and LETTERS.search(t)]
+            rows = [k for k, t in enumerate(texts) if code and t and has_letter(t)]
             for k in range(0, len(rows), 256):
                 some = rows[k : k + 256]
                 best, value[some], flag[some] = code.decode([texts[i] for i in some])

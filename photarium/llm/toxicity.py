@@ -17,6 +17,8 @@ WINDOW, STRIDE = 24, 12
 EMBED, HIDDEN = 6, 8
 #: Labelled rows used for training, at most; each class gives up to half.
 TRAIN_ROWS = 3000
+#: Longest text, in characters, that is taken for training; all texts are scored whole.
+TRAIN_CHARS = 200_000
 VOCABULARY = 6000
 EPOCHS = 5
 #: Bytes of text that one numpy pass handles.
@@ -217,14 +219,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     The sample takes up to ``rows`` / 2 texts of each class, in the order of a
-    hash of their ids. Without both classes there is nothing to learn: None.
+    hash of their ids, of at most TRAIN_CHARS characters each; a repeated id
+    gives its first text in their order, null text is empty, and of conflicting
+    labels 1 holds. Without both classes there is nothing to learn: None.
     """
     own = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows_in = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(_fold(F.col("doc_id"), 5) != 0)
     own = own.where(_fold(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"))
     picked = own.where("toxic = 1").limit(rows // 2).union(own.where("toxic <> 1").limit(rows // 2))
     # At most `rows` ids: a bounded side.
-    sample = rows_in.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = rows_in.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     y = (sample["toxic"].to_numpy() == 1).astype(np.int64)
     if len(y) == 0 or y.min() == y.max():
         return None

@@ -394,7 +394,32 @@ def test_embedding_recall_any_size():
             need, p = embeddings.Projections(4, bits, threshold, tables).need, embeddings.collision(bits, threshold)
             assert tables <= embeddings.MOST_TABLES
             assert 1 - sum(comb(tables, c) * p**c * (1 - p) ** (tables - c) for c in range(need)) >= embeddings.RECALL - 1e-9, n
-    assert embeddings.plan(57_000, 0.9)[1] == embeddings.TABLES
+            assert need >= 2
+
+
+@pytest.mark.parametrize("bits", [0, 11, 17, 21])
+def test_embedding_components(spark, bits):
+    """Links, components and kept rows against brute force, at any number of sign bits; double components beyond float range included."""
+    rng = np.random.default_rng(bits)
+    base = rng.standard_normal((150, 24))
+    x = np.concatenate([base, base[:120] + 0.22 * rng.standard_normal((120, 24)), base[:10], 1e39 * base[10:15], -base[15:18]])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(None, base[0].tolist()), (500, [0.0, -0.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(df.withColumn("digest", df.vec_id), bits=bits).collect()}
+    u = np.concatenate([x, base[:1]]) / np.linalg.norm(np.concatenate([x, base[:1]]), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = sum(got[k]["n_links"] for k in range(len(x)))
+    assert 0.9 <= found / near[: len(x)].sum() <= 1 and all(got[k]["n_links"] <= near[k].sum() for k in range(len(x)))
+    assert got[500]["n_links"] == 0 and got[500]["kept"]
+    if found == near[: len(x)].sum():
+        label = np.arange(len(u))
+        for _ in range(len(u)):
+            new = np.array([min(label[k], label[near[k]].min(initial=10**6)) for k in range(len(u))])
+            if (new == label).all():
+                break
+            label = new
+        assert all(got[k]["component_id"] == label[k] and got[k]["kept"] == (label[k] == k) for k in range(len(x)))
 
 
 def test_embedding_lengths(spark):
@@ -402,3 +427,27 @@ def test_embedding_lengths(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 0.1]), (5, [1.0, 0.0]), (6, [0.0, 1.0]), (7, [1.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_secret_syntax():
+    """Annotations, subscripts, folding, markup, calls, nesting, sections and comments."""
+    x, y = "zX81-qpLm7T2vR9w#", "zX81qpLm7T2vR9w"
+    found = lambda text: [text[s:e] for _, s, e in secrets.literal_spans(text)]
+    for text in ('cfg["password"] = "{}"', "<password>{}</password>", 'client_secret = """{}"""', 'db_password = os.environ.get("X", "{}")', '{{"db": {{"password": "{}"}}}}', 'password = K\nK = "{}"\n', 'A = B\nsecret = A\nB = "{}"', '// old: password = "{}"', '[password]\nvalue = "{}"\n', 'cfg["k"] = "{}"\npassword = cfg["k"]\n', "don't say password = '{}' "):
+        assert found(text.format(x)) == [x], text
+    assert found('password = "abcDEF12" + "ghiJK34-"') == ["abcDEF12", "ghiJK34-"]
+    assert found(f"password:\n  value: {y}\n") == [y] and found(f'x = "user=a password={y}"') == [y]
+    assert found(f'K = "{x}"\n# K = "other-Qp8Lm7T2vR"\npassword = K\n') == [x]
+    assert found("token = get_token()") == found("password: ${VAR_NAME_X}") == []
+    for part in ("/*", "<!--", "a(", "<password>", "pwd = f(", '"""', "pwd='''", "pwd:\n ", "token = a\na = token\n"):
+        secrets.literal_spans("password " + part * 20_000 + "=")
+
+
+def test_language_letters(spark, docs):
+    """Digits in rings, fractions and powers are no letters; conflicting rows of one id stay together."""
+    model = language.train(docs)
+    rows = spark.createDataFrame([(1, "\u00bd"), (2, "\u2461 \u00b2 12"), (3, "\u00e9t\u00e9")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(rows, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und"
+    twice = docs.select("doc_id", "text", "lang").union(docs.selectExpr("doc_id", "'1 2 3' AS text", "'zz' AS lang"))
+    assert language.train(twice).langs == model.langs
