@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.operators.vectors import dot
+from photarium.sources.scratch import bounded
 
 # Fixed values.
 TYPE_LABELS = {"character": "角色", "person": "人物"}
@@ -44,9 +45,9 @@ def strip_emoji(text: Column) -> Column:
 def zero_shot(vectors: DataFrame, label_vectors: DataFrame, key: str = "key", scale: float = 5.0) -> DataFrame:
     """``key, label, position, p``: sigmoid(scale * cos), normalised over labels, rounded to 4.
 
-    ``label_vectors``: label, position, vector; a handful of rows (at most 1000).
+    ``label_vectors``: label, position, vector; a handful of rows.
     """
-    labels = F.broadcast(label_vectors.limit(1000))
+    labels = bounded(label_vectors, 1000)
     s = vectors.select(key, F.col("vector").alias("v")).crossJoin(labels).select(key, "label", "position", (1 / (1 + F.exp(-scale * dot(F.col("v"), F.col("vector"))))).alias("s"))
     total = F.sum("s").over(Window.partitionBy(key))
     return s.withColumn("p", F.round(F.col("s") / total, 4)).select(key, "label", "position", "p")
@@ -82,6 +83,23 @@ def detection_filter(rows: DataFrame, classes: list[str], threshold: float) -> D
     return rows.where(F.col("label").isin(classes) & (F.col("confidence") >= threshold)).orderBy(F.desc("confidence"))
 
 
+def append_feedback(feedback: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """The log with ``new`` records behind it; they come in their own ``order`` and are numbered on from the last."""
+    last = feedback.agg(F.coalesce(F.max(order), F.lit(-1)).alias("last_"))  # one row
+    numbered = new.crossJoin(F.broadcast(last)).withColumn(order, F.col("last_") + 1 + F.col(order)).drop("last_")
+    return feedback.unionByName(numbered, allowMissingColumns=True)
+
+
+#: Names of the two group types, and the words of the categories' texts.
+CATEGORY_TEXT = {"character": "角色", "person": "人物"}
+
+
+def category_text(categories: Column) -> Column:
+    """Distinct category names of a group's members, in order, joined."""
+    names = F.create_map(*(F.lit(x) for kv in CATEGORY_TEXT.items() for x in kv))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(categories, lambda c: c.isNotNull()), lambda c: F.coalesce(names[c], c)))), "、")
+
+
 def latest_feedback(feedback: DataFrame, key: str = "doc_id", order: str = "seq", value: str = "human_category") -> DataFrame:
     return feedback.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 

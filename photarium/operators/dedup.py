@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from photarium.operators.graph import connected_components
 from photarium.operators.vectors import cosine
+from photarium.sources.scratch import bounded, materialize
 
 W_DHASH, W_COLOR, W_GRAY = 0.45, 0.25, 0.30
 SHARP_GAP, EXPOSURE_GAP = 0.12, 0.15
@@ -131,6 +132,7 @@ def _blocked_hamming(rows: DataFrame, max_distance: int) -> DataFrame:
 def near_duplicate_pairs(fp: DataFrame, key: str, max_distance: int, sim: Column, accept: Column) -> DataFrame:
     """``a, b, score`` of pairs that pass the bit prune and ``accept`` (over score, a and b)."""
     full = F.struct(*[c for c in fp.columns if c != key])
+    fp = materialize(fp, "prints")  # it is read three times
     pairs = hamming_pairs(fp, key, max_distance)
     joined = pairs.join(fp.select(F.col(key).alias("a"), full.alias("fa")), "a").join(fp.select(F.col(key).alias("b"), full.alias("fb")), "b")
     renamed = joined.select(F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("fa").alias("a"), F.col("fb").alias("b"))
@@ -148,7 +150,7 @@ def near_duplicate_groups(fp: DataFrame, key: str = "path", ignored: DataFrame |
     """
     usable = first_per_hash(fp.where("NOT failed"), "md5", (key,)) if "failed" in fp.columns else first_per_hash(fp, "md5", (key,)) if "md5" in fp.columns else fp
     d = dhash_sim(F.col("a.dhash"), F.col("b.dhash"))
-    pairs = near_duplicate_pairs(usable, key, int((1 - prune) * 64 + 1e-9), combined_sim(), (F.col("score") >= min_combined) | (d >= min_dhash))
+    pairs = materialize(near_duplicate_pairs(usable, key, int((1 - prune) * 64 + 1e-9), combined_sim(), (F.col("score") >= min_combined) | (d >= min_dhash)), "pairs")
     if ignored is not None:
         x, y = ignored.columns[:2]
         pairs = pairs.join(ignored.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), ["a", "b"], "left_anti")
@@ -178,13 +180,14 @@ def quality_groups(fp: DataFrame, key: str = "path", threshold: float = 0.80) ->
 
 
 def similar_assets(fp: DataFrame, queries: DataFrame, key: str = "path", top_k: int = 12, min_sim: float = 0.55) -> DataFrame:
-    """``query, key, similarity, rank``: combined similarity of a few query assets to all, self left out.
+    """``query, key, similarity, rank``: combined similarity of each query asset to all, self left out.
 
-    The query side is limited to 1000 rows before it is broadcast.
+    The query side is broadcast while it is small.
     """
     full = F.struct(*[c for c in fp.columns if c != key])
-    asked = fp.join(F.broadcast(queries.select(F.col(queries.columns[0]).alias(key)).limit(1000)), key, "left_semi").select(F.col(key).alias("query"), full.alias("a"))
-    scored = fp.select(F.col(key).alias("key"), full.alias("b")).join(F.broadcast(asked), F.col("query") != F.col("key")).select("query", "key", combined_sim().alias("similarity"))
+    fp = materialize(fp, "prints")
+    asked = materialize(fp.join(queries.select(F.col(queries.columns[0]).alias(key)), key, "left_semi").select(F.col(key).alias("query"), full.alias("a")), "asked")
+    scored = fp.select(F.col(key).alias("key"), full.alias("b")).join(bounded(asked, 10_000), F.col("query") != F.col("key")).select("query", "key", combined_sim().alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
     return scored.where(F.col("similarity") >= min_sim).withColumn("rank", rank).where(F.col("rank") <= top_k)
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.operators.graph import connected_components
-from photarium.operators.vectors import centroids, cosine, threshold_pairs
+from photarium.operators.vectors import centroids, cosine, threshold_links, threshold_pairs
+from photarium.sources.scratch import materialize
 
 #: embedding type -> (eps, metric)
 CLUSTERING = {"face": (0.4, "cosine"), "legacy": (0.3, "cosine"), "primary": (0.6481, "euclidean")}
 KEY = ["image_path", "detection_index"]
-#: Rows of group representatives that may be broadcast.
-REPRESENTATIVES = 100_000
+#: Components of all group representatives together that go to the tasks as one matrix.
+REPRESENTATIVES = 8_000_000
+#: Groups that one window may number; more are numbered by ranges.
+SERIALS = 1_000_000
 
 
 def new_group_id(*key: str) -> Column:
@@ -30,8 +35,7 @@ def dbscan_min1(vectors: DataFrame, key: str, vec: str, eps: float, metric: str
     cosine 1 - eps**2 / 2.
     """
     minimum = 1 - eps if metric == "cosine" else 1 - eps * eps / 2
-    pairs = threshold_pairs(vectors, key, vec, minimum)
-    return connected_components(vectors.select(key), pairs.select("a", "b"))
+    return connected_components(vectors.select(key), threshold_links(vectors, key, vec, minimum))
 
 
 def cluster_type(detections: DataFrame, embedding_type: str, key: str = "vec_id") -> DataFrame:
@@ -54,10 +58,12 @@ def incremental_assign(detections: DataFrame, embedding_type: str, threshold: fl
     typed = detections.where(F.col("embedding_type") == embedding_type)
     reps = centroids(typed.where("group_id <> ''"), "group_id")
     pending = typed.where("group_id = ''").select(*keys, F.col("embedding"))
-    # One row a group; the size is checked before the cross with every pending row is broadcast.
-    small = reps.limit(REPRESENTATIVES + 1).count() <= REPRESENTATIVES
-    scored = pending.join(F.broadcast(reps) if small else reps, how="left", on=F.lit(True)).select(*keys, F.col("group_id").alias("g"), cosine(F.col("embedding"), F.col("centroid")).alias("cos"))
-    ranked = _two_best(scored, keys)
+    reps = materialize(reps, "representatives")
+    if (reps.agg(F.sum(F.size("centroid")).alias("n")).first()["n"] or 0) <= REPRESENTATIVES:
+        ranked = _two_best_by_matrix(pending, reps, keys)
+    else:
+        scored = pending.crossJoin(reps).select(*keys, F.col("group_id").alias("g"), cosine(F.col("embedding"), F.col("centroid")).alias("cos"))
+        ranked = _two_best(scored, keys)
     top, second = F.col("best")[0], F.get(F.col("best"), F.lit(1))
     none = top["g"].isNull()
     decision = F.when(none | (top["cos"] < threshold), "create").when(second.isNotNull() & (top["cos"] - second["cos"] < margin), "conflict").otherwise("join")
@@ -66,6 +72,33 @@ def incremental_assign(detections: DataFrame, embedding_type: str, threshold: fl
     )
 
 
+def _two_best_by_matrix(pending: DataFrame, reps: DataFrame, keys: list[str]) -> DataFrame:
+    """Two best groups of each pending row by one product a batch: nothing is shuffled. The size of ``reps`` has been checked."""
+    held = reps.orderBy("group_id").collect()
+    names, matrix = np.array([r["group_id"] for r in held], dtype=object), np.array([r["centroid"] for r in held], dtype=np.float64)
+    best = pa.list_(pa.struct([("g", pa.string()), ("cos", pa.float64())]))
+
+    def rank(batches):
+        for batch in batches:
+            vectors, out = batch.column(len(keys)).to_pylist(), [[] for _ in range(batch.num_rows)]
+            rows = [k for k, v in enumerate(vectors) if v is not None and len(held) and len(v) == matrix.shape[1]]
+            if rows:
+                x = np.array([vectors[k] for k in rows], dtype=np.float64)
+                norm = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((matrix * matrix).sum(axis=1))[None, :]
+                cos = np.divide(x @ matrix.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                at = np.arange(len(rows))
+                for _ in range(min(2, len(held))):
+                    top = cos.argmax(axis=1)  # of equals the smallest id
+                    for i, k in enumerate(rows):
+                        out[k].append({"g": names[top[i]], "cos": cos[i, top[i]]})
+                    cos[at, top] = -np.inf
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, best)], names=[*keys, "best"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in pending.select(*keys).dtypes)
+    ranked = pending.select(*keys, "embedding").mapInArrow(rank, f"{kinds}, best array<struct<g:string,cos:double>>")
+    return ranked.withColumn("best", F.when(F.size("best") > 0, F.col("best")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(None).cast("double").alias("cos")))))
+
+
 def _two_best(scored: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("cos"), "g")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "g", "cos"))), lambda s: F.struct(s["g"].alias("g"), s["cos"].alias("cos"))).alias("best"))
@@ -77,8 +110,8 @@ def apply_assignment(detections: DataFrame, decisions: DataFrame, keys: list[str
     return detections.join(new, keys, "left").withColumn("group_id", F.coalesce("new_group", "group_id")).drop("new_group").select(*detections.columns)
 
 
-def candidate_pairs(detections: DataFrame, excluded: DataFrame | None = None, min_sim: float = 0.60, limit: int = 200) -> DataFrame:
-    """``a, b, similarity`` of group pairs by centroid cosine, best first.
+def candidate_pairs(detections: DataFrame, excluded: DataFrame | None = None, min_sim: float = 0.60, limit: int | None = 200) -> DataFrame:
+    """``a, b, similarity`` of the ``limit`` best group pairs (None: all) by centroid cosine, best first.
 
     Groups without primary detections don't take part; ``excluded`` (a, b in
     either order) holds pairs that a person has told apart.
@@ -87,7 +120,8 @@ def candidate_pairs(detections: DataFrame, excluded: DataFrame | None = None, mi
     pairs = threshold_pairs(reps, "group_id", "centroid", min_sim)
     if excluded is not None:
         pairs = pairs.join(sorted_pairs(excluded), ["a", "b"], "left_anti")
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(limit)
+    pairs = pairs.orderBy(F.desc("similarity"), "a", "b")
+    return pairs if limit is None else pairs.limit(limit)
 
 
 def sorted_pairs(pairs: DataFrame) -> DataFrame:
@@ -181,8 +215,10 @@ def drop_empty_groups(groups: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def upsert_detections(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace old ones of the same (image_path, detection_index)."""
-    return old.join(new.select(*KEY), KEY, "left_anti").select(*old.columns).unionByName(new.dropDuplicates(KEY), allowMissingColumns=True)
+    """New rows replace old ones of the same (image_path, detection_index); of equal keys in one batch the most confident row stays."""
+    order = [F.desc("confidence")] if "confidence" in new.columns else []
+    own = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order, F.xxhash64(*new.columns)))
+    return old.join(new.select(*KEY), KEY, "left_anti").select(*old.columns).unionByName(new.withColumn("rn_", own).where("rn_ = 1").drop("rn_"), allowMissingColumns=True)
 
 
 def complete_assets(batch: DataFrame, expected: DataFrame) -> DataFrame:
@@ -198,8 +234,16 @@ def remove_detections(detections: DataFrame, gone: DataFrame) -> DataFrame:
 
 def group_serials(groups: DataFrame) -> DataFrame:
     """``id, serial``: newest group of each type is 1."""
-    w = Window.partitionBy("type").orderBy(F.desc("created_at"), F.desc("id"))
-    return groups.select("id", F.row_number().over(w).alias("serial"))
+    order = [F.desc("created_at"), F.desc("id")]
+    rows = groups.select("id", "type", "created_at")
+    if rows.limit(SERIALS + 1).count() <= SERIALS:
+        return rows.select("id", F.row_number().over(Window.partitionBy("type").orderBy(*order)).alias("serial"))
+    # Two types hold all groups, so they are numbered by ranges: own place in the range plus the ranges before.
+    ranged = materialize(rows.repartitionByRange("type", *order).withColumn("part", F.spark_partition_id()), "ranged-groups")
+    sizes = ranged.groupBy("type", "part").agg(F.count("*").alias("n"))  # some rows a partition
+    before = sizes.select("type", "part", F.coalesce(F.sum("n").over(Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("type", "part").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), ["type", "part"]).select("id", (F.col("before") + F.col("inside")).cast("int").alias("serial"))
 
 
 def best_per_group(detections: DataFrame) -> DataFrame:
@@ -236,9 +280,10 @@ def group_view(detections: DataFrame, groups: DataFrame, order: list[str]) -> Da
 
 def asset_first_group(detections: DataFrame, groups: DataFrame) -> DataFrame:
     """``image_path, group_id``: first group of an asset in the list order (members desc, newest, id)."""
-    rank = F.row_number().over(Window.orderBy(F.desc("n_assets"), F.desc("created_at"), "id"))
-    listed = groups.join(group_counts(detections), groups["id"] == F.col("group_id")).select("group_id", rank.alias("pos"))  # one row a group
-    return detections.where("group_id <> ''").join(listed, "group_id").groupBy("image_path").agg(F.min_by("group_id", "pos").alias("group_id"))
+    listed = groups.join(group_counts(detections), groups["id"] == F.col("group_id")).select("group_id", "n_assets", "created_at")
+    rows = detections.where("group_id <> ''").select("image_path", "group_id").distinct().join(listed, "group_id")
+    first = F.row_number().over(Window.partitionBy("image_path").orderBy(F.desc("n_assets"), F.desc("created_at"), "group_id"))
+    return rows.withColumn("first", first).where("first = 1").select("image_path", "group_id")
 
 
 def validate_detections(rows: DataFrame, dim: int = 512) -> tuple[DataFrame, DataFrame]:

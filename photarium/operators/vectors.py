@@ -83,21 +83,84 @@ def threshold_pairs(vectors: DataFrame, key: str, vec: str, minimum: float, bloc
     return dealt.groupBy("lo", "hi").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
 
 
+def threshold_links(vectors: DataFrame, key: str, vec: str, minimum: float, blocks: int | None = None) -> DataFrame:
+    """``a, b``: links that connect what pairs with cosine >= ``minimum`` connect.
+
+    The block products of ``threshold_pairs``, but each gives a spanning star of
+    what is connected inside it instead of its pairs: at most one row a vector.
+    """
+    if blocks is None:
+        blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    kind = dict(rows.dtypes)["k"]
+
+    def stars(pdf):
+        x, k = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["k"].to_numpy()
+        norm = np.linalg.norm(x, axis=1)
+        x = x / np.where(norm > 0, norm, 1)[:, None]
+        near = x @ x.T >= minimum
+        label = np.arange(len(k))
+        while True:
+            new = np.where(near, label[None, :], len(k)).min(axis=1)
+            new = np.minimum(new, label)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(k))
+        return pd.DataFrame({"a": k[moved], "b": k[label[moved]]})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(stars, f"a {kind}, b {kind}")
+
+
+def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, min_sim: float | None) -> DataFrame:
+    """``query_id, key, similarity`` candidates of more queries than fit one matrix: blocks of queries against blocks of vectors.
+
+    ``vectors``: key, vector; ``queries``: g, q, v. A task holds a block of each
+    and keeps the top k of each query (all ties included) in its block.
+    """
+    vb, qb = (max(1, math.ceil(df.count() / BLOCK_ROWS)) for df in (vectors, queries))
+    left = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(vb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("g"), F.lit(qb)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
+    kind, out = dict(vectors.dtypes)["key"], dict(queries.dtypes)["g"]
+
+    def score(one, two):
+        none = pd.DataFrame({"query_id": two["g"].iloc[:0], "key": one["key"].iloc[:0], "similarity": np.zeros(0)})
+        if not len(one) or not len(two):
+            return none
+        sim = pd.DataFrame(np.stack(two["v"].to_numpy()).astype(np.float64) @ np.stack(one["vector"].to_numpy()).astype(np.float64).T)
+        if exclude_self:
+            same = two["q"].to_numpy()[:, None] == one["key"].to_numpy()[None, :]
+            hit = pd.DataFrame(same).groupby(two["g"].to_numpy()).transform("any").to_numpy()
+            sim = sim.mask(hit, -np.inf)
+        fused = sim.groupby(two["g"].to_numpy()).max()
+        values = fused.to_numpy()
+        cut = np.partition(values, -k, axis=1)[:, -k][:, None] if values.shape[1] > k else -np.inf
+        i, j = np.nonzero((values >= cut) & (values > -np.inf) & ((values >= min_sim) if min_sim is not None else True))
+        return pd.DataFrame({"query_id": fused.index.to_numpy()[i], "key": one["key"].to_numpy()[j], "similarity": values[i, j]})
+
+    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(score, f"query_id {out}, key {kind}, similarity double")
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vec: str = "vector", fuse_by: str | None = None, exclude_self: bool = True, alive: DataFrame | None = None, min_sim: float | None = None) -> DataFrame:
     """``query_id, key, similarity, rank``: exact inner-product top-k of each query.
 
     ``queries``: ``query_id, vector`` and, with ``fuse_by``, that column: an
     asset's similarity is then its maximum over the variants of a query. Queries
-    go to the tasks as one matrix (at most QUERY_ROWS rows); each batch keeps its
-    own top k for each query, and one window ranks what is left. ``alive``
+    go to the tasks as one matrix, or from QUERY_ROWS on in blocks; each batch keeps
+    its own top k for each query, and one window ranks what is left. ``alive``
     (column ``key``) drops dead rows before the ranking, so k hits stay k.
     """
     if alive is not None:
         vectors = vectors.join(alive.select(F.col(alive.columns[0]).alias(key)), key, "left_semi")
     group = fuse_by or "query_id"
-    held = queries.select(F.col(group).alias("g"), F.col("query_id").alias("q"), F.col("vector").cast("array<double>").alias("v")).limit(QUERY_ROWS + 1).collect()
+    asked = queries.select(F.col(group).alias("g"), F.col("query_id").alias("q"), F.col("vector").cast("array<double>").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
+    held = asked.limit(QUERY_ROWS + 1).collect()
     if len(held) > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: split them")
+        rows = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+        return _topk_in_blocks(rows, asked.where("v IS NOT NULL"), k, exclude_self, min_sim).withColumn("rank", rank).where(F.col("rank") <= k)
     kind, out = dict(vectors.dtypes)[key], dict(queries.dtypes)[group]
     empty = vectors.sparkSession.createDataFrame([], f"query_id {out}, key {kind}, similarity double, rank int")
     if not held:
@@ -124,7 +187,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key"
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], type=_arrow(out)), keys.take(pa.array(i)), pa.array(fused[i, q])], names=["query_id", "key", "similarity"])
 
     best = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vector")).where("vector IS NOT NULL").mapInArrow(scan, f"query_id {out}, key {kind}, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

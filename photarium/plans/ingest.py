@@ -56,7 +56,6 @@ def folder_groups(detections: DataFrame, groups: DataFrame, order: list[str]) ->
 
 def organise(analysis: DataFrame, detections: DataFrame, groups: DataFrame, paths: DataFrame) -> DataFrame:
     """Analysis with the last group (in list order) of each asset; ``paths``: doc_id, image_path."""
-    rank = F.row_number().over(Window.orderBy("created_at", "id"))
-    listed = groups.select(F.col("id").alias("group_id"), rank.alias("pos"))  # one row a group
-    last = detections.join(listed, "group_id").groupBy("image_path").agg(F.max_by("group_id", "pos").alias("group_id"))
+    listed = groups.select(F.col("id").alias("group_id"), "created_at")
+    last = detections.join(listed, "group_id").groupBy("image_path").agg(F.max_by("group_id", F.struct("created_at", "group_id")).alias("group_id"))
     return analysis.join(paths, "doc_id", "left").join(last, "image_path", "left").select("doc_id", "category", "human_category", "group_id")

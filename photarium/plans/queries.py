@@ -12,7 +12,7 @@ from photarium.operators import dedup, identity, quality, vectors
 from photarium.plans import ingest, reports, search
 from photarium.sources import catalog
 from photarium.sources.fixtures import table, view_sql
-from photarium.sources.scratch import scratch_path
+from photarium.sources.scratch import materialize, scratch_path
 from photarium.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,12 +68,12 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @query(_pairs_sql(0.10), "detections")
 def suspect_pairs(spark, d):
-    return _rounded(identity.candidate_pairs(table(spark, d, "detections"), None, 0.10), "similarity")
+    return _rounded(identity.candidate_pairs(table(spark, d, "detections"), None, 0.10, None), "similarity")
 
 
 @query(_pairs_sql(0.60), "detections")
 def suspect_pairs_default(spark, d):
-    return _rounded(identity.candidate_pairs(table(spark, d, "detections")), "similarity")
+    return _rounded(identity.candidate_pairs(table(spark, d, "detections"), limit=None), "similarity")
 
 
 @query(_pairs_sql(0.10, "AND NOT (x.group_id IN ('g00p', 'g01p') OR y.group_id IN ('g00p', 'g01p'))"), "detections")
@@ -82,7 +82,7 @@ def not_same_filtered(spark, d):
     det, groups = table(spark, d, "detections"), table(spark, d, "groups")
     asked = groups.select(F.lit("g00p").alias("a"), F.col("id").alias("b")).union(groups.select(F.lit("g01p"), F.col("id")))
     decided = identity.add_not_same(spark.createDataFrame([], "a string, b string"), groups, asked)
-    return _rounded(identity.candidate_pairs(det, decided, 0.10), "similarity")
+    return _rounded(identity.candidate_pairs(det, decided, 0.10, None), "similarity")
 
 
 _COMPONENTS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -97,21 +97,21 @@ def dbscan_components(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS key, list_dot_product(q.e, v.e) AS s FROM v q, v WHERE q.vec_id < 5 AND q.vec_id <> v.vec_id)
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS key, list_dot_product(q.e, v.e) AS s FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, key, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM s) WHERE rank <= 12""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return _rounded(vectors.vector_topk(e, asked, 12, "vec_id", "embedding"), "similarity")
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT (q.vec_id - q.vec_id % 2) // 2 AS query_id, v.vec_id AS key, max(list_dot_product(q.e, v.e)) AS s FROM v q, v WHERE q.vec_id < 6 AND v.vec_id % 3 <> 0 GROUP BY 1, 2)
+s AS (SELECT CAST(floor(q.vec_id / 100) AS BIGINT) AS query_id, v.vec_id AS key, max(list_dot_product(q.e, v.e)) AS s FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id % 3 <> 0 GROUP BY 1, 2)
 SELECT query_id, key, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM s) WHERE rank <= 20""")
 def vector_topk_fused(spark, d):
     """Two variants to a query, maximum over them, dead assets left out first."""
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 2).alias("asset_query"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 100).alias("asset_query"), F.col("embedding").alias("vector"))
     return _rounded(vectors.vector_topk(e, asked, 20, "vec_id", "embedding", fuse_by="asset_query", exclude_self=False, alive=e.where("vec_id % 3 <> 0").select("vec_id")), "similarity")
 
 
@@ -149,11 +149,11 @@ def near_duplicates(spark, d):
     return _rounded(dedup.near_duplicate_groups(fingerprints(spark, d), "vec_id", None, 0.55, 1.01, 1 - 18 / 64), "score")
 
 
-@query(f"""WITH RECURSIVE {_FP}, pq AS (SELECT a AS query, b AS key, 0.45 * (1 - h / 64) + 0.25 * hs + 0.30 * gs AS s FROM pr WHERE a < 3 UNION ALL SELECT b, a, 0.45 * (1 - h / 64) + 0.25 * hs + 0.30 * gs FROM pr WHERE b < 3)
+@query(f"""WITH RECURSIVE {_FP}, pq AS (SELECT a AS query, b AS key, 0.45 * (1 - h / 64) + 0.25 * hs + 0.30 * gs AS s FROM pr WHERE a % 50 = 0 UNION ALL SELECT b, a, 0.45 * (1 - h / 64) + 0.25 * hs + 0.30 * gs FROM pr WHERE b % 50 = 0)
 SELECT query, key, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, key) AS rank FROM pq WHERE s >= 0.45) WHERE rank <= 12""")
 def similar_assets(spark, d):
     fp = fingerprints(spark, d)
-    return _rounded(dedup.similar_assets(fp, fp.where("vec_id < 3").select("vec_id"), "vec_id", 12, 0.45), "similarity")
+    return _rounded(dedup.similar_assets(fp, fp.where("vec_id % 50 = 0").select("vec_id"), "vec_id", 12, 0.45), "similarity")
 
 
 _EXACT = """g AS (SELECT md5, count(*) AS n, sum(size) AS total_bytes, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS members FROM assets GROUP BY md5 HAVING count(*) > 1)"""
@@ -393,7 +393,7 @@ pk AS (SELECT vec_id, CAST(label AS STRING) AS group_id, gn AS group_size, score
 UNION ALL SELECT vec_id, '', 1, score FROM qs WHERE score >= 0.55 AND vec_id NOT IN (SELECT vec_id FROM gr WHERE gn > 1))
 SELECT vec_id, group_id, group_size FROM pk""")
 def quality_picks(spark, d):
-    s = quality.quality_scores(_metrics(spark, d))
+    s = materialize(quality.quality_scores(_metrics(spark, d)), "scores")  # else every filter repeats the folds
     groups = s.where("vec_id % 2 = 0").select(F.col("label").cast("string").alias("group_id"), "vec_id")
     return quality.select_best(s.drop("label"), groups, "vec_id")[0].select("vec_id", "group_id", "group_size")
 

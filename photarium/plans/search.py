@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from photarium.functions.labels import display_name
 from photarium.operators.identity import group_serials
 from photarium.sources.catalog import asset_date
+from photarium.sources.scratch import bounded
 
 PREFIX = "a photo of "
 #: Words that find a group by its type.
@@ -37,10 +38,13 @@ def _variants(text: str, terms: list[tuple[str, list[str]]], limit: int) -> list
 def expand_queries(queries: DataFrame, terms: DataFrame, limit: int = 4) -> DataFrame:
     """``query_id, variant_no, variant``: the raw text and prompts from a term dictionary.
 
-    ``terms``: term, words (array), position; a dictionary, limited to 100,000
-    rows. Longer terms are matched first, equal lengths in dictionary order.
+    ``terms``: term, words (array), position; a dictionary of at most 100,000
+    rows, else an error. Longer terms are matched first, equal lengths in
+    dictionary order.
     """
-    rows = terms.orderBy("position").limit(100_000).collect()
+    rows = terms.orderBy("position").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("more than 100,000 terms")
     table = sorted(((r["term"], list(r["words"])) for r in rows), key=lambda x: -len(x[0]))
     kind = dict(queries.dtypes)["query_id"]
 
@@ -62,7 +66,7 @@ def group_haystack(groups: DataFrame) -> DataFrame:
 def search_groups(groups: DataFrame, queries: DataFrame, limit: int = 15, type_filter: str = "all") -> DataFrame:
     """``query_id, section, rank, key``: groups whose name, label, id or type words contain the query."""
     rows = group_haystack(groups if type_filter == "all" else groups.where(F.col("type") == type_filter))
-    hits = rows.join(F.broadcast(queries.limit(1000)), F.col("haystack").contains(F.lower("text")))
+    hits = rows.join(bounded(queries, 10_000), F.col("haystack").contains(F.lower("text")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", F.lit("groups").alias("section"), "rank", F.col("id").alias("key"))
 
@@ -75,7 +79,7 @@ def search_assets(assets: DataFrame, favorites: DataFrame, queries: DataFrame, l
         marked = marked.where(day >= date_from)
     if date_to:
         marked = marked.where(day <= date_to)
-    hits = marked.select("name").join(F.broadcast(queries.limit(1000)), F.lower("name").contains(F.lower("text")))
+    hits = marked.select("name").join(bounded(queries, 10_000), F.lower("name").contains(F.lower("text")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("name"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", F.lit(section).alias("section"), "rank", F.col("name").alias("key"))
 

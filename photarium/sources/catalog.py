@@ -117,6 +117,19 @@ def upsert_keep_override(old: DataFrame, new: DataFrame, key: str, override_col:
     return upsert(joined, old, key)
 
 
+def set_override(cache: DataFrame, overrides: DataFrame, key: str, override_col: str = "override") -> DataFrame:
+    """The cache with the human overrides set; a row is created for an asset that has none yet."""
+    new = overrides.select(key, F.col(override_col).alias("new_override")).dropDuplicates([key])
+    joined = cache.join(new, key, "full").withColumn(override_col, F.coalesce("new_override", override_col))
+    return joined.select(*cache.columns)
+
+
+def list_assets(assets: DataFrame, backend: str | None = None, limit: int = 100, offset: int = 0, key: str = "doc_id") -> DataFrame:
+    """One page of a backend's assets (all without one), by key."""
+    rows = assets if backend is None else assets.where(F.col("backend") == backend)
+    return rows.orderBy(key).offset(offset).limit(limit)
+
+
 def prune(cache: DataFrame, alive: DataFrame, key: str = "path", category: str = "category", override: str = "override") -> tuple[DataFrame, DataFrame]:
     """``(kept, counts)``: rows without an asset or without a result go.
 
@@ -158,14 +171,25 @@ def archive_plan(assets: DataFrame, categories: DataFrame, existing: DataFrame,
     """``key, dest, status``: copy, or duplicate of the target or of an earlier row.
 
     ``categories``: key, category (human override first). Equal names in a
-    category get ``_1``, ``_2`` … in key order. No file is touched.
+    category get ``_1``, ``_2`` … in key order, counted on from the largest such
+    suffix that a real name, of the batch or (column name, if there) of
+    ``existing`` files of that category, has. No file is touched.
     """
     first = F.row_number().over(Window.partitionBy("md5").orderBy(key)) == 1
     known = assets.join(existing.select("md5").distinct(), "md5", "left_semi").select(key, F.lit(None).cast("string").alias("dest"), F.lit("duplicate").alias("status"))
     fresh = assets.join(existing.select("md5").distinct(), "md5", "left_anti").withColumn("first", first)
     repeats = fresh.where("NOT first").select(key, F.lit(None).cast("string"), F.lit("duplicate"))
     named = fresh.where("first").join(categories.select(key, "category"), key, "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
-    n = F.row_number().over(Window.partitionBy("category", "name").orderBy(key)) - 1
+    # Names that are taken already start behind themselves, so a first asset gets a suffix as well.
+    names = named.select("category", "name", F.lit(0).alias("taken"))
+    if {"category", "name"} <= set(existing.columns):
+        names = names.union(existing.select("category", "name", F.lit(1)))
+    tail = F.regexp_extract("name", r"^(.*)_(\d{1,9})(\.[^.]*)?$", 2)
+    used = names.withColumn("tail", tail).where("tail <> ''").withColumn("name", F.regexp_replace("name", r"_\d{1,9}(\.[^.]*)?$", "$1")).groupBy("category", "name").agg(F.max(F.col("tail").cast("int")).alias("used"))
+    taken = names.where("taken = 1").select("category", "name", "taken").distinct()
+    named = named.join(used, ["category", "name"], "left").join(taken, ["category", "name"], "left").withColumns({"used": F.coalesce("used", F.lit(0)), "taken": F.coalesce("taken", F.lit(0))})
+    place = F.row_number().over(Window.partitionBy("category", "name").orderBy(key)) - 1 + F.col("taken")
+    n = F.when(place == 0, 0).otherwise(place + F.col("used"))
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
     dest = F.concat(F.lit(target + "/"), F.col("category"), F.lit("/"), F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ext)))
     return named.withColumn("n", n).select(key, dest.alias("dest"), F.lit("copy").alias("status")).union(repeats).union(known)
