@@ -522,3 +522,6 @@ def stream_latest(spark, d):
     stream, out = _staged(spark, d, "feedback")
     jobs.latest_table_stream(stream, out, f"{out}-checkpoint").awaitTermination()
     return labels.latest_feedback(spark.read.parquet(out))
+
+
+from photarium.plans import more_queries  # noqa: E402, F401  (registers its queries here)
