@@ -107,13 +107,16 @@ def has_letter(text: str) -> bool:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode | None:
     """Fit on at most ``rows`` labelled rows outside the held-out fold, of up to TRAIN_CHARS characters.
 
-    Each language gives an equal part, in the order of a hash of its rows' ids
-    and then texts, so a repeated id keeps its own text and label together. Rows
+    Languages give rows in turn, in the order of a hash of their rows' ids and
+    then texts, so a repeated id keeps its own text and label together. Rows
     without text or label are left out; repeats of a row count once. Nothing
     labelled: None.
     """
     known = docs.where(F.col("lang").isNotNull() & (_fold() != 2) & (F.length("text") <= TRAIN_CHARS)).select(F.xxhash64("doc_id", "lang", "text").alias("row"), "lang", F.xxhash64("doc_id").alias("h"))
-    # Spark keeps the first rows of each language in every task before it sorts, so no language meets in one.
+    # A language's rows are thinned by their hash to about four times what it may give, so that no task ranks a whole language.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    share = F.lit(float(4 * rows)) / F.col("n")
+    known = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row"))
     first = known.withColumn("place", place).where(F.col("place") <= rows)
     picked = first.orderBy("place", "lang").limit(rows).select("row")
