@@ -66,11 +66,8 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds)
 
 
-SENSITIVE_WORD = re.compile("|".join(SENSITIVE), re.IGNORECASE)
-
-
 def _comments(text: str) -> list[tuple[int, int]]:
-    found = [m.span() for m in LINE_COMMENT.finditer(text)]
+    found = [m.span() for m in LINE_COMMENT.finditer(text)] if "#" in text or "//" in text else []
     for start, pattern, stop in BLOCKS:
         if start in text:  # up to the last closing mark every comment is closed, so none is tried in vain
             found += [m.span() for m in pattern.finditer(text, 0, text.rfind(stop) + len(stop))]
@@ -144,7 +141,7 @@ def assignments(text: str) -> list[_Assignment]:
     deeper or following keys.
     """
     found, comments, c = [], _comments(text), 0
-    sections, n, section = [m for m in SECTION.finditer(text)], 0, ""
+    sections, n, section = list(SECTION.finditer(text)) if "[" in text else [], 0, ""
     parents: list[tuple[int, str]] = []
     inside = at = 0  # the end of the string that is being searched
     waiting: list[_Assignment] = []
@@ -183,7 +180,7 @@ def assignments(text: str) -> list[_Assignment]:
             at += 1  # assignments inside the string are read on their own
         else:
             at = max(end, at)
-    for m in ELEMENT.finditer(text):
+    for m in ELEMENT.finditer(text) if "</" in text else ():
         one = _Assignment(m["name"], m["name"], True, m.start())
         one.literals.append(([m.span("body")], m["body"]))
         found.append(one)
@@ -199,8 +196,9 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
     of names, so ``K = "x9..."`` scores for ``password = K``. Comments and
     strings bind no names of the program.
     """
-    if not SENSITIVE_WORD.search(text):
-        return []  # no name can score
+    low = text.lower() if "=" in text or ":" in text or "</" in text else ""
+    if not any(map(low.__contains__, SENSITIVE)):
+        return []  # no pair, or no name that can score
     found = assignments(text)
     bound: dict[tuple[str, bool], list[_Assignment]] = {}
     for x in found:
