@@ -451,3 +451,16 @@ def test_language_letters(spark, docs):
     assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und"
     twice = docs.select("doc_id", "text", "lang").union(docs.selectExpr("doc_id", "'1 2 3' AS text", "'zz' AS lang"))
     assert language.train(twice).langs == model.langs
+
+
+def test_sharding_query(spark, docs):
+    """Every column of the registered query against one prefix sum."""
+    rows = sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts(docs).items())
+    total, before, want, slots = sum(r[1] for r in rows), 0, [], {}
+    for i, size, crc in rows:
+        shard = min(15, (2 * before + size) * 16 // (2 * total))
+        slots[shard] = slots.get(shard, -1) + 1
+        want.append((i, size, crc, "bytes", shard, slots[shard], None))
+        before += size
+    got = queries.QUERIES["op1_sharding"](spark, DIR).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted(map(tuple, got)) == want
