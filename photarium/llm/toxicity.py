@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from photarium.llm.features import Vocabulary, Words
 
-WINDOW, STRIDE = 24, 12
+#: A passage of up to WINDOW - STRIDE + 1 words lies whole in some window.
+WINDOW, STRIDE = 24, 4
 EMBED, HIDDEN = 6, 8
 #: Labelled rows used for training, at most; each class gives up to half.
 TRAIN_ROWS = 3000
@@ -21,8 +23,9 @@ TRAIN_ROWS = 3000
 TRAIN_CHARS = 200_000
 VOCABULARY = 6000
 EPOCHS = 5
-#: Bytes of text that one numpy pass handles.
-PASS_BYTES = 1 << 20
+#: Characters of text that one numpy pass handles; longer texts are read in pieces cut between words.
+PASS_CHARS = 1 << 18
+_BETWEEN = re.compile(r"[\x00-\x60\x7b-\x7f]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -45,6 +48,37 @@ def _evidence(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, n
     return every[good], z[good] / 2.5
 
 
+def _passes(texts: list[str]) -> Iterator[list[int]]:
+    """Rows of one pass: short of PASS_CHARS, or one long text alone."""
+    rows, size = [], 0
+    for k, text in enumerate(texts):
+        if rows and size + len(text) > PASS_CHARS:
+            yield rows
+            rows, size = [], 0
+        rows.append(k)
+        size += len(text)
+    if rows:
+        yield rows
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of PASS_CHARS or a little more, each ending between two words."""
+    text, at = text.lower(), 0
+    while len(text) - at > PASS_CHARS and (cut := _BETWEEN.search(text, at + PASS_CHARS)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def _reads(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and texts of each pass, a long text in its pieces."""
+    for rows in _passes(texts):
+        if len(rows) > 1:
+            yield rows, [texts[k] for k in rows]
+        else:
+            yield from ((rows, [piece]) for piece in _pieces(texts[rows[0]]))
+
+
 class Network:
     """Word and character-gram embeddings, two GRUs, attention pooling, one logit for each window."""
 
@@ -68,19 +102,30 @@ class Network:
         self.p = p
 
     def inputs(self, texts: list[str]) -> dict:
-        """Rows of every word's word and grams, and the windows of each text."""
-        w = Words(texts)
-        row = self.grams.rows(w.gram_hash)
-        known = row > 0
-        count = np.maximum(w.count, 1)
+        """Rows of every word's word and grams, and first and last place of each window of the texts."""
+        count, word, gram, gram_word, words = np.zeros(len(texts), np.int64), [], [], [], 0
+        for rows, part in _reads(texts):
+            w = Words(part)
+            row = self.grams.rows(w.gram_hash)
+            known = row > 0
+            count[rows] += w.count
+            word.append(self.words.rows(w.hash))
+            gram.append(row[known])
+            gram_word.append(w.gram_word[known] + words)
+            words += len(w.hash)
         windows = np.maximum(-(-(count - WINDOW) // STRIDE), 0) + 1
         doc = np.repeat(np.arange(len(texts)), windows)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-        base = np.cumsum(w.count) - w.count
-        index = base[doc][:, None] + number[:, None] * STRIDE + np.arange(WINDOW)[None, :]
-        real = number[:, None] * STRIDE + np.arange(WINDOW)[None, :] < w.count[doc][:, None]
-        index = np.where(real, index, len(w.hash))  # a blank word after the last
-        return {"word": np.append(self.words.rows(w.hash), 0), "gram": row[known], "gram_word": w.gram_word[known], "doc": doc, "index": index, "real": real, "texts": len(texts)}
+        base = np.cumsum(count) - count
+        blank, none = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        return {"word": np.concatenate([*word, blank]), "gram": np.concatenate([*gram, none]), "gram_word": np.concatenate([*gram_word, none]), "doc": doc, "first": base[doc] + number * STRIDE, "end": (base + count)[doc], "texts": len(texts)}
+
+    @staticmethod
+    def windows(x: dict, chosen: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of the chosen windows, and which of them are words of the text; the rest are the blank after the last word."""
+        place = x["first"][chosen][:, None] + np.arange(WINDOW)
+        real = place < x["end"][chosen][:, None]
+        return np.where(real, place, len(x["word"]) - 1), real
 
     def embed(self, x: dict) -> np.ndarray:
         chars = np.zeros((len(x["word"]), EMBED), np.float32)
@@ -126,18 +171,23 @@ class Network:
     def document_logits(self, texts: list[str], block: int = 2048) -> np.ndarray:
         """Largest logit over all overlapping windows of each text."""
         x = self.inputs(texts)
-        vectors = self.embed(x)
         out = np.full(x["texts"], -np.inf, np.float32)
-        for k in range(0, len(x["doc"]), block):
-            logits = self.forward(*_narrow(vectors, x["index"][k : k + block]), x["real"][k : k + block])
-            np.maximum.at(out, x["doc"][k : k + block], logits)
+        np.maximum.at(out, x["doc"], self.window_logits(x, self.embed(x), block))
         return out
 
+    def window_logits(self, x: dict, vectors: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Of every window, a block at a time."""
+        out = [np.zeros(0, np.float32)]
+        for k in range(0, len(x["doc"]), block):
+            index, real = self.windows(x, slice(k, k + block))
+            out.append(self.forward(*_narrow(vectors, index), real))
+        return np.concatenate(out)
+
     def gradients(self, x: dict, chosen: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
         """Of the weighted logistic loss of one window for each text."""
         p, n, keep = self.p, HIDDEN, {}
         vectors = self.embed(x)
-        index, real = x["index"][chosen], x["real"][chosen]
+        index, real = self.windows(x, chosen)
         logit = self.forward(vectors, index, real, keep)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         d = ((_sigmoid(logit) - labels) * weights / len(labels)).astype(np.float32)
@@ -188,8 +238,7 @@ class Network:
             for k in range(0, len(order), batch):
                 some = order[k : k + batch]
                 x = self.inputs([texts[i] for i in some])
-                vectors = self.embed(x)
-                logits = np.concatenate([self.forward(*_narrow(vectors, x["index"][j : j + 2048]), x["real"][j : j + 2048]) for j in range(0, len(x["doc"]), 2048)])
+                logits = self.window_logits(x, self.embed(x))
                 chosen = np.lexsort((logits, x["doc"]))
                 chosen = chosen[np.append(np.flatnonzero(np.diff(x["doc"][chosen])), len(chosen) - 1)]
                 step += 1
@@ -236,19 +285,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     return Network(texts, y).fit(texts, y)
 
 
-def _passes(texts: list[str]) -> Iterator[list[int]]:
-    """Rows of one pass: short of PASS_BYTES, or one long text alone."""
-    rows, size = [], 0
-    for k, text in enumerate(texts):
-        if rows and size + len(text) > PASS_BYTES:
-            yield rows
-            rows, size = [], 0
-        rows.append(k)
-        size += len(text)
-    if rows:
-        yield rows
-
-
 def score(docs: DataFrame, model: Network | None, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double ``name`` from 0 to 1: the highest window's probability.
 

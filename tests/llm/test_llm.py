@@ -182,10 +182,11 @@ def test_toxicity_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x = net.inputs(["bad la mer worse", "vent bleu"])
     y, w, chosen = np.array([1.0, 0.0]), np.ones(2), np.array([0, 1])
-    loss = lambda: np.mean(np.logaddexp(0, z := net.forward(net.embed(x), x["index"], x["real"])) - y * z)
+    loss = lambda: np.mean(np.logaddexp(0, z := net.forward(net.embed(x), *net.windows(x, chosen))) - y * z)
     grad = net.gradients(x, chosen, y, w)
-    for name in ("Uf", "Wb", "A", "v", "w"):
-        flat, i = net.p[name].reshape(-1), 3
+    for name in net.p:
+        flat = net.p[name].reshape(-1)
+        i = int(np.abs(grad[name].reshape(-1)).argmax())
         before, eps = flat[i], 1e-3
         flat[i] = before + eps
         up = loss()
@@ -464,3 +465,50 @@ def test_sharding_query(spark, docs):
         before += size
     got = queries.QUERIES["op1_sharding"](spark, DIR).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def slow_logit(net, words):
+    """One window, word by word."""
+    def vector(word):
+        w = toxicity.Words([word])
+        return np.concatenate([net.p["Ew"][net.words.rows(w.hash)[0]], sum((net.p["Ec"][g] for g in net.grams.rows(w.gram_hash)), np.zeros(toxicity.EMBED))])
+
+    sig, n = lambda z: 1 / (1 + np.exp(-z)), toxicity.HIDDEN
+    xs = [vector(w) for w in words] + [np.append(net.p["Ew"][0], np.zeros(toxicity.EMBED))] * (toxicity.WINDOW - len(words))
+    states = {}
+    for side in "fb":
+        h, out = np.zeros(n), []
+        for x in xs if side == "f" else reversed(xs):
+            a, u = x @ net.p[f"W{side}"] + net.p[f"b{side}"], h @ net.p[f"U{side}"]
+            r, z = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :])
+            out.append(h)
+        states[side] = out if side == "f" else out[::-1]
+    hh = np.array([np.concatenate(p) for p in zip(states["f"], states["b"])])
+    e = np.array([np.tanh(h @ net.p["A"] + net.p["a"]) @ net.p["v"] for h in hh])
+    weight = np.where(np.arange(len(xs)) < len(words), np.exp(e), 0 if words else 1)
+    return float((weight / weight.sum()) @ hh @ net.p["w"] + net.p["c"][0])
+
+
+def test_toxicity_query(spark, docs):
+    """Every column of the registered query against a slow pass over each window."""
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_toxicity"](spark, DIR).collect()}
+    net, want = toxicity.train(docs, spark.read.parquet(f"{DIR}/labels.parquet")), texts(docs)
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
+    for i in [*sorted(want, key=lambda i: len(want[i]))[:12], *sorted(want)[:3]]:
+        words = [w.decode() for w in re.findall(rb"[a-z\x80-\xff]+", want[i].lower().encode())]
+        starts = range(0, max(len(words) - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE)
+        logit = max(slow_logit(net, words[s : s + toxicity.WINDOW]) for s in starts if s == 0 or s - toxicity.STRIDE + toxicity.WINDOW < len(words))
+        assert abs(1 / (1 + np.exp(-logit)) - got[i]["score"]) < 1e-4
+
+
+def test_toxicity_pieces(monkeypatch):
+    """A long text read in pieces gives the words of the whole text."""
+    net = toxicity.Network(["bad worse la mer Éa"] * 4 + ["la mer bleu vent"] * 4, np.array([1] * 4 + [0] * 4))
+    rng = random.Random(9)
+    many = ["", "".join(rng.choices("bad la mer É\n,x", k=400)), "word" * 80, " ".join(rng.choices(["la", "bad", "ΑΣ", "worse."], k=90)), "la"]
+    whole = net.inputs(many)
+    monkeypatch.setattr(toxicity, "PASS_CHARS", 7)
+    assert all(np.array_equal(v, whole[k]) for k, v in net.inputs(many).items())
