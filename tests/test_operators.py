@@ -218,3 +218,21 @@ def test_result_cache_quarantine(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"path": "a", "category": "x"}\n{broken\n')
     good, bad = catalog.load_result_cache(spark, str(tmp_path / "c.json"), "path string, category string")
     assert [r["path"] for r in good.collect()] == ["a"] and [r["value"] for r in bad.collect()] == ["{broken"]
+
+
+def test_temporary_scratch(spark):
+    """Folders of a block go with it; a result at a path named outside stays."""
+    import os
+
+    from photarium.sources.scratch import materialize, scratch_path, temporary
+
+    path = scratch_path(spark, "result")
+    with temporary(spark):
+        inner = materialize(spark.range(5), "inner")
+        with temporary(spark):
+            deep = materialize(spark.range(3), "deep").inputFiles()
+        assert not any(map(os.path.exists, (f.removeprefix("file://") for f in deep)))
+        files = inner.inputFiles()
+        result = materialize(inner.where("id > 1"), "result", path)
+    assert files and not any(map(os.path.exists, (f.removeprefix("file://") for f in files)))
+    assert result.count() == 3
