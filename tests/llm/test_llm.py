@@ -512,3 +512,70 @@ def test_toxicity_pieces(monkeypatch):
     whole = net.inputs(many)
     monkeypatch.setattr(toxicity, "PASS_CHARS", 7)
     assert all(np.array_equal(v, whole[k]) for k, v in net.inputs(many).items())
+
+
+def test_pipeline_run(spark, docs):
+    """The registered query: whole sequences, ids of every piece, and nothing but the last stage left in the scratch folder."""
+    import os
+
+    from photarium.sources.scratch import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, DIR)
+    rows = got.collect()
+    check_packing(rows)
+    assert {r["doc_id"] for r in rows} <= set(texts(docs)) and len(rows) == got.count()
+    (left,) = set(os.listdir(folder)) - before
+    assert left.startswith("stage-packing")
+
+
+def test_language_decoding(docs):
+    """Nearest codeword by a slow loss over every bit."""
+    want = texts(docs)
+    model = language.train(docs)
+    some = [want[i] for i in sorted(want)[:40]]
+    best, p, _ = model.decode(some)
+    for k, text in enumerate(some):
+        margin = language.gram_counts([text])[0].astype(float) @ model.w.astype(float) + model.b
+        loss = [sum(t * np.log1p(np.exp(-c * f)) for c, t, f in zip(row, trust, margin)) for row, trust in zip(model.code.astype(float), model.trust)]
+        assert loss[best[k]] <= min(loss) + 1e-5
+        share = np.exp(-len(margin) * (np.array(loss) - min(loss)))
+        assert abs(share[best[k]] / share.sum() - p[k]) < 1e-3
+
+
+def test_language_query(spark, docs):
+    """Every column of the registered query."""
+    model, want = language.train(docs), texts(docs)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_language"](spark, DIR).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        (best,), (p,), _ = model.decode([want[i]])
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert (r["lang_pred"], round(r["score"], 4)) == ((model.langs[best], round(p, 4)) if any(map(str.isalpha, want[i])) else ("und", 0.0))
+
+
+def test_token_queries(spark, docs):
+    """op8 and op9 against whole texts encoded by the library."""
+    from tokenizers import Tokenizer
+
+    library, want = Tokenizer.from_file(tokens.tokenizer_path()), texts(docs)
+    ids = {i: library.encode(want[i], add_special_tokens=False).ids for i in sorted(want)}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    start, rows = 0, []
+    for i, x in ids.items():
+        rows.append((i, start, len(x) + 1, crc([*x, 2])))
+        start += len(x) + 1
+    assert sorted(map(tuple, queries.QUERIES["op8_token_files"](spark, DIR).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == rows
+    got = queries.QUERIES["op9_packing"](spark, DIR).collect()
+    check_packing(got)
+    pieces = [(i, k, s, len(x[s : s + 4096]), crc(x[s : s + 4096])) for i, x in ((i, [*x, 1]) for i, x in ids.items()) for k, s in enumerate(range(0, len(x), 4096))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == pieces
+
+
+def test_simhash_query(spark, docs):
+    want = texts(docs)
+    ids = sorted(want)
+    prints = [brute_simhash(want[i]) for i in ids]
+    got = queries.QUERIES["op2_simhash"](spark, DIR).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, f"{p:016x}", ids[k]) for i, p, k in zip(ids, prints, components(prints))]
