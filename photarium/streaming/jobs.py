@@ -8,42 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from photarium.operators.identity import incremental_assign
 
 
-def _committed(spark: SparkSession, out: str, schema: str, batch: int) -> DataFrame:
-    """What earlier batches wrote; a replayed batch doesn't see itself."""
-    try:
-        read = spark.read.schema(schema + ", batch long").parquet(out)
-    except AnalysisException:  # the first batch: nothing is written yet
-        return spark.createDataFrame([], schema)
-    return read.where(F.col("batch") < batch).drop("batch")
-
-
-def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
 def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", md5: str = "md5") -> StreamingQuery:
     """First row of each content over the life of the stream, as ``key, md5`` under ``out``.
 
-    Within a batch the smallest key wins, across batches the earlier batch.
+    Within a batch the smallest key wins, across batches the earlier batch; null
+    is a content like any other. What was seen is the state of a streaming
+    aggregate, so a batch touches its own contents only and nothing is reread;
+    the state grows with the distinct contents (use the RocksDB store for many).
     """
-    kinds = dict(stream.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{md5}` {kinds[md5]}"
+    # The current time is one value for each micro-batch, also when the batch is replayed.
+    rows = stream.select(F.col(key).alias("key"), F.col(md5).alias("content"), F.current_timestamp().alias("at"))
+    seen = rows.groupBy("content").agg(F.min(F.struct("at", "key")).alias("first"), F.max("at").alias("last"))
 
     def step(batch: DataFrame, number: int) -> None:
-        first = F.row_number().over(Window.partitionBy(md5).orderBy(key))
-        rows = batch.select(key, md5).withColumn("rn", first).where("rn = 1").drop("rn")
-        fresh = rows.join(_committed(batch.sparkSession, out, schema, number).select(md5), md5, "left_anti").select(key, md5)
+        fresh = batch.where("first.at = last").select(F.col("first.key").alias(key), F.col("content").alias(md5))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(stream, checkpoint, step)
+    return _run(seen, checkpoint, step, "update")
 
 
 def assign_stream(stream: DataFrame, grouped: DataFrame, out: str, checkpoint: str, embedding_type: str = "primary", threshold: float = 0.79, margin: float = 0.02, keys: list[str] | None = None) -> StreamingQuery:
@@ -57,16 +49,6 @@ def assign_stream(stream: DataFrame, grouped: DataFrame, out: str, checkpoint: s
     return _run(stream, checkpoint, step)
 
 
-def latest_stream(stream: DataFrame, name: str, checkpoint: str | None = None, key: str = "doc_id", order: str = "seq", value: str = "human_category") -> StreamingQuery:
-    """Latest value of each key as a streaming aggregate, complete into the memory table ``name``.
-
-    For large key sets pass the same aggregate to a ``foreachBatch`` sink.
-    """
-    last = stream.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
-    writer = last.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-
-
 def latest_table_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", order: str = "seq", value: str = "human_category") -> StreamingQuery:
     """Latest rows of each batch; reading ``out`` with ``max_by`` over the batches gives the table."""
     def step(batch: DataFrame, number: int) -> None:

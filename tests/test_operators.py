@@ -236,3 +236,20 @@ def test_temporary_scratch(spark):
         result = materialize(inner.where("id > 1"), "result", path)
     assert files and not any(map(os.path.exists, (f.removeprefix("file://") for f in files)))
     assert result.count() == 3
+
+
+def test_ingest_stream_batches(spark, tmp_path):
+    """Earlier batches win over smaller keys, and a later run goes on where the first stopped."""
+    from photarium.streaming.jobs import ingest_stream
+
+    schema, src, out, log = "doc_id long, md5 string", tmp_path / "in", tmp_path / "out", str(tmp_path / "log")
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        ingest_stream(stream, str(out), log).awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(out)).select("doc_id", "md5").collect())
+
+    assert feed([(5, "a"), (4, "a"), (7, "b")]) == [(4, "a"), (7, "b")]
+    assert feed([(1, "a"), (2, "b")]) == [(4, "a"), (7, "b")]
+    assert feed([(3, "b"), (9, "c"), (8, "c")]) == [(4, "a"), (7, "b"), (8, "c")]
