@@ -579,3 +579,18 @@ def test_simhash_query(spark, docs):
     prints = [brute_simhash(want[i]) for i in ids]
     got = queries.QUERIES["op2_simhash"](spark, DIR).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got)) == [(i, f"{p:016x}", ids[k]) for i, p, k in zip(ids, prints, components(prints))]
+
+
+def test_leaks_shared_id(spark, tmp_path):
+    """Each text is judged alone, whatever its id; an empty benchmark drops nothing."""
+    from photarium.llm import stages
+
+    item = " ".join(f"b{k}" for k in range(30))
+    rows = [(1, f"before {item} after"), (1, "a clean text under the same id"), (2, item[:40]), (None, item), (None, "clean"), (3, None), (4, item.upper()), (4, item.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("x", item)], "item_id string, text string")
+    items.write.parquet(str(tmp_path / "some/benchmark.parquet"))
+    items.limit(0).write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    got = stages.drop_leaks(spark, df, str(tmp_path / "some")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a clean text under the same id"), (2, item[:40]), (None, "clean"), (3, None)]))
+    assert stages.drop_leaks(spark, df, str(tmp_path / "none")).count() == len(rows)
