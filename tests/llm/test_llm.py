@@ -22,7 +22,7 @@ def odd(spark):
     """Nulls, empty and very long texts, repeated rows, and columns with clashing names."""
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("clash") for c in ("score", "fp", "key", "pii", "terms", "h", "row", "part", "w0", "_", "rest")})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("clash") for c in ("score", "fp", "key", "pii", "terms", "h", "row", "part", "w0", "_", "rest", "row_key", "gone_key", "repeat_key")})
 
 
 @pytest.fixture(scope="module")
