@@ -1,14 +1,16 @@
 """Operators 11 to 13 against brute force and their SQL."""
 
+import collections
 import hashlib
 import random
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from photarium.llm import conversations, merkle
+from photarium.llm import conversations, merkle, outliers
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -215,3 +217,101 @@ def test_chain_of_segments():
 
 def test_op12_sql(spark):
     same_as_sql(spark, conversations.op12_conversations, conversations.ORACLE, ["conversations"])
+
+
+def brute_stats(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    inside = {k + j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:k] for k, x in enumerate(lines)), len(inside)
+
+
+def brute_distances(groups, rows):
+    """Row number -> distance, by whole arrays; ``rows``: (lang, source, vector)."""
+
+    def shaped(mean, cov):
+        return mean, np.linalg.inv(cov + np.diag((np.array(outliers.GRANTED) * outliers.UNIT) ** 2))
+
+    def away(x, est):
+        return np.einsum("ni,ij,nj->n", x - est[0], est[1], x - est[0])
+
+    def moments(x, share):
+        return shaped(x.mean(0), outliers.consistency(share) * np.cov(x.T, bias=True))
+
+    def fit(x):
+        low = np.sort(x, axis=0)[(len(x) - 1) // 2]
+        mad = np.sort(abs(x - low), axis=0)[(len(x) - 1) // 2]
+        best = (np.inf, 0, None)
+        for start, est in enumerate((shaped(low, np.diag((1.4826 * mad) ** 2)), moments(x, 1))):
+            det = np.inf
+            for _ in range(outliers.MAX_STEPS):
+                bins = np.floor(outliers.BINS * np.log2(1 + away(x, est)))
+                inner = x[bins <= np.sort(bins)[(len(x) + 6) // 2 - 1]]
+                new = moments(inner, len(inner) / len(x))
+                value = -np.linalg.slogdet(new[1])[1]
+                if value >= det - 1e-9:
+                    break
+                det, est = value, new
+            best = min(best, (det, start, est), key=lambda b: b[:2])
+        near = x[away(x, best[2]) <= outliers.CLOSE]
+        return moments(near, len(near) / -(-len(near) // outliers.REWEIGHT))
+
+    out = {}
+    for pick in {groups(r) for r in rows}:
+        x = np.array([v for *ls, v in rows if pick(ls)])
+        est = fit(x)
+        for k, r in enumerate(rows):
+            if groups(r) == pick:
+                out[k] = away(np.array([r[2]]), est)[0]
+    return out
+
+
+class Pick(tuple):
+    def __call__(self, ls):
+        return all(a is Ellipsis or a == b for a, b in zip(self, ls))
+
+
+def test_text_stats():
+    rng = random.Random(11)
+    texts = [None, "", " \n\t", "a b c d e f g h a b c d e f g h", "x " * 50, "one\n\n \none\n one\n" * 2, "\u00a0 \x1c \x85"]
+    texts += [" ".join(rng.choices("abcd", k=rng.randrange(40))) + "\n" * rng.randrange(2) + "".join(rng.choices("ab# \n|\r\x0b", k=20)) for _ in range(300)]
+    assert [outliers.text_stats(t) for t in texts] == [brute_stats(t) for t in texts]
+
+
+def prose(rng, n, low=3, high=8):
+    return " ".join("".join(rng.choices("etaoin", k=rng.randrange(low, high))) for _ in range(n))
+
+
+def test_outliers(spark):
+    """Against whole arrays: own, language and overall estimates, junk in large shares, a hot source, nulls, repeats, clashing columns."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(k, prose(rng, int(rng.lognormvariate(5, 0.8)) + 20), rng.choice(["en", "fr"]), rng.choice(["hot"] * 4 + ["a", "b", None])) for k in range(600)]
+    rows += [(1000 + k, " ".join(rng.choice(["###", "|$|", prose(rng, 1, 14, 30)]) for _ in range(60)), "en", "hot") for k in range(90)]
+    rows += [(2000, None, None, None), (2001, "", "en", "hot"), (None, prose(rng, 30), None, "x"), (2003, "word " * 40_000, "en", "a"), (2004, prose(rng, 30_000), "zz", ""), *[(2005, prose(random.Random(1), 40), "en", "hot")] * 30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("key", "n_words", "x0", "m", "c", "group_key", "start")})
+    got = outliers.judge(docs).collect()
+    assert len(got) == len(rows)
+    stats = {r[1]: brute_stats(r[1]) for r in rows}
+    assert sorted((str(r["doc_id"]), *(r[c] for c in outliers.STATS)) for r in got) == sorted((str(i), *stats[t]) for i, t, _, _ in rows)
+
+    def vector(t):
+        n, chars, symbols, dup, rep = stats[t]
+        return np.round(np.log2([n + 1, (chars + 1) / (n + 1), 1 + 64 * symbols / (chars + 1), 1 + 8 * dup / (n + 1), 1 + 4 * rep / (n + 1)]) * outliers.UNIT)
+
+    good = [r for r in rows if stats[r[1]][0] >= 20 and 100 * stats[r[1]][4] <= 30 * stats[r[1]][0]]
+    by_group, by_lang = collections.Counter((x, s) for _, _, x, s in good), collections.Counter(x for _, _, x, _ in good)
+    own = lambda r: Pick(r[:2]) if by_group[r[0], r[1]] >= 50 else Pick((r[0], ...)) if by_lang[r[0]] >= 50 else Pick((..., ...))
+    want = brute_distances(own, [(x, s, vector(t)) for _, t, x, s in good])
+    assert len({sum(x is ... for x in own(r[2:])) for r in good}) == 3
+    key = lambda i, x, s, n: (str(i), str(x), str(s), n)
+    near = {key(r[0], r[2], r[3], stats[r[1]][0]): want[k] for k, r in enumerate(good)}
+    for r in got:
+        k = key(r["doc_id"], r["lang"], r["source"], r["n_words"])
+        assert r["base_failed"] == (k not in near) and r["kept"] == (k in near and near[k] <= outliers.BOUND)
+        assert r["base_failed"] or abs(r["distance"] - near[k]) <= 1e-6 * (1 + near[k])
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert not kept & set(range(1000, 1090)) and len(kept & set(range(600))) >= 595
+    assert outliers.judge(docs.limit(0)).count() == 0
