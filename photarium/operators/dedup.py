@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,8 +15,12 @@ from photarium.sources.scratch import bounded, materialize
 
 W_DHASH, W_COLOR, W_GRAY = 0.45, 0.25, 0.30
 SHARP_GAP, EXPOSURE_GAP = 0.12, 0.15
-BAND_BITS = 8
-BLOCK_ROWS = 4096
+#: Prints of one side of a task that compares them: a few MB.
+BLOCK_ROWS = 1 << 18
+#: Lookups of a print and bits of a band, at most; and how much cheaper than comparing everything lookups must be.
+MAX_PROBES, MAX_BAND, LOOKUP_GAIN = 4096, 22, 5
+#: Pairs, or lookups, that a task holds at once.
+COMPARED = 1 << 21
 
 
 def dhash_sim(a: Column, b: Column) -> Column:
@@ -50,6 +53,11 @@ def quality_sim(a: str = "a", b: str = "b", with_size: bool = False) -> Column:
     return base + 0.1 * F.when(wide * tall < 1.6, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (wide * tall - 1.6) / 2))
 
 
+def content_key(md5: str = "md5", key: str = "doc_id") -> Column:
+    """A row's content: its hash, or the row itself if it has none, since nothing is known to equal it."""
+    return F.coalesce(F.concat(F.lit("md5:"), F.col(md5).cast("string")), F.concat(F.lit("key:"), F.col(key).cast("string")))
+
+
 def size_collisions(assets: DataFrame, size: str = "size") -> DataFrame:
     """Assets that share their size: the only ones whose content need be read for hashing."""
     shared = assets.groupBy(size).agg(F.count("*").alias("same_size")).where("same_size > 1").select(size)
@@ -70,8 +78,9 @@ def surplus_copies(groups: DataFrame) -> DataFrame:
 
 
 def first_per_hash(assets: DataFrame, md5: str = "md5", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    w = Window.partitionBy(md5).orderBy(*order)
-    return assets.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The first row of each content by ``order``, whose first column is the asset's key; an asset without a hash is a content of its own."""
+    rows = assets.groupBy(content_key(md5, order[0]).alias("content_")).agg(F.min_by(F.struct(*assets.columns), F.struct(*order)).alias("row_"))
+    return rows.select(*(F.col(f"row_.`{c}`").alias(c) for c in assets.columns))
 
 
 def unique_contents(members: DataFrame, group: str, md5: str = "md5", path: str = "image_path") -> DataFrame:
@@ -79,49 +88,84 @@ def unique_contents(members: DataFrame, group: str, md5: str = "md5", path: str
     return members.groupBy(group).agg(F.countDistinct(F.coalesce(md5, path)).alias("n_unique"))
 
 
-def hamming_pairs(fp: DataFrame, key: str, max_distance: int, hash_col: str = "dhash") -> DataFrame:
+def band_plan(max_distance: int) -> list[tuple[int, int, int]]:
+    """``(low bit, bits, radius)`` of the bands by which pairs within ``max_distance`` are looked up; empty if lookups are no gain.
+
+    Of m bands with distances that sum to r at most, one of the first r % m + 1
+    is within r // m or one of the others within r // m - 1. The plan with the
+    least share of rows met by chance is taken, as long as a row needs no more
+    than MAX_PROBES lookups.
+    """
+    best, least = [], 1 / LOOKUP_GAIN
+    for m in range(1, 17):
+        edges = [64 * k // m for k in range(m + 1)]
+        plan = [(lo, hi - lo, max_distance // m - (k > max_distance % m)) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+        plan = [(lo, bits, radius) for lo, bits, radius in plan if radius >= 0]
+        probes = [sum(math.comb(bits, d) for d in range(min(radius, bits) + 1)) for _, bits, radius in plan]
+        share = sum(n / 2**bits for n, (_, bits, _) in zip(probes, plan))
+        if sum(probes) <= MAX_PROBES and max(bits for _, bits, _ in plan) <= MAX_BAND and share < least:
+            best, least = plan, share
+    return best
+
+
+def close_pairs(one: np.ndarray, two: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(i, j, compared)``: all pairs of 64-bit prints within ``max_distance`` bits, and how many were compared for it."""
+    plan = band_plan(max_distance)
+    if not plan or len(two) < MAX_PROBES:
+        found = []
+        for k in range(0, len(one), step := max(1, COMPARED // max(1, len(two)))):
+            i, j = np.nonzero(np.bitwise_count(one[k : k + step, None] ^ two[None, :]) <= max_distance)
+            found.append((i + k, j))
+        i, j = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
+        return i, j, len(one) * len(two)
+    found, compared = [], 0
+    for n, (low, bits, radius) in enumerate(plan):
+        own = ((two >> np.uint64(low)) & np.uint64(2**bits - 1)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        first = np.searchsorted(own[order], np.arange(2**bits + 1))
+        masks = np.flatnonzero(np.bitwise_count(np.arange(2**bits)) <= radius)
+        asked = ((one >> np.uint64(low)) & np.uint64(2**bits - 1)).astype(np.int64)
+        step = max(1, COMPARED // max(len(masks), len(masks) * len(two) >> bits))
+        for k in range(0, len(one), step):
+            cells = asked[k : k + step, None] ^ masks[None, :]
+            start, size = first[cells].ravel(), (first[cells + 1] - first[cells]).ravel()
+            i = np.repeat(np.repeat(np.arange(k, k + len(cells)), len(masks)), size)
+            ends = np.cumsum(size)
+            j = order[np.arange(len(i)) - np.repeat(ends - size, size) + np.repeat(start, size)]
+            x = one[i] ^ two[j]
+            compared += len(i)
+            near = np.flatnonzero(np.bitwise_count(x) <= max_distance)
+            i, j, x = i[near], j[near], x[near]
+            new = np.ones(len(i), bool)  # a pair is told by the first band that finds it
+            for lo, wide, r in plan[:n]:
+                new &= np.bitwise_count((x >> np.uint64(lo)) & np.uint64(2**wide - 1)) > r
+            found.append((i[new], j[new]))
+    i, j = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+    return i, j, compared
+
+
+def hamming_pairs(fp: DataFrame, key: str, max_distance: int, hash_col: str = "dhash", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b`` (a < b) of all pairs within ``max_distance`` bits; exact.
 
-    Up to BAND_BITS: 64 bits are cut into max_distance + 2 bands and two of them
-    agree on any pair within the distance, so the join key is a pair of bands;
-    pairs that meet in several keys are reported by the first. Beyond, bands are
-    so narrow that their join meets most pairs anyway, so pairs of row blocks are
-    compared by popcount instead, two blocks a task.
+    Only keys and prints travel, 16 bytes or so a row. Rows are dealt into blocks
+    of up to ``block_rows`` and each pair of blocks is one task, which looks its
+    pairs up by bands: prints are filed by the value of each band, and all values
+    within a small radius of a print's own are looked up (``band_plan``). Up to
+    14 bits a print meets 3.5 % of random ones at most; at distances where lookups
+    would meet too many, prints are compared by popcount. Rows without a print
+    have no pair.
     """
-    if max_distance > BAND_BITS:
-        return _blocked_hamming(fp.select(F.col(key).alias("k"), F.col(hash_col).cast("long").alias("h")), max_distance)
-    bands = max_distance + 2
-    edge = [64 * k // bands for k in range(bands + 1)]
-    mask = [((1 << (hi - lo)) - 1) for lo, hi in zip(edge, edge[1:])]
-    part = [F.shiftrightunsigned(F.col(hash_col), lo).bitwiseAND(F.lit(m)) for lo, m in zip(edge, mask)]
-    duos = list(combinations(range(bands), 2))
-    keys = F.array(*(F.struct(F.lit(n).alias("duo"), F.shiftleft(part[i].cast("long"), 32).bitwiseOR(part[j].cast("long")).alias("value")) for n, (i, j) in enumerate(duos)))
-    rows = fp.select(F.col(key).alias("k"), F.col(hash_col).cast("long").alias("h"), F.explode(keys.cast("array<struct<duo:int,value:bigint>>")).alias("band"))
-    left = rows.select(F.col("k").alias("a"), F.col("h").alias("ha"), "band")
-    right = rows.select(F.col("k").alias("b"), F.col("h").alias("hb"), "band")
-    near = left.join(right, "band").where("a < b").where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= max_distance)
-    x = F.col("ha").bitwiseXOR(F.col("hb"))
-    same = [F.shiftrightunsigned(x, lo).bitwiseAND(F.lit(m)) == 0 for lo, m in zip(edge, mask)]
-    first = F.coalesce(*(F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(duos)))
-    return near.where(F.col("band.duo") == first).select("a", "b")
-
-
-def _blocked_hamming(rows: DataFrame, max_distance: int) -> DataFrame:
-    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    rows = fp.select(F.col(key).alias("k"), F.col(hash_col).cast("long").alias("h")).where("h IS NOT NULL")
+    n = rows.count()
+    blocks = max(1, math.ceil(n / max(1, min(block_rows, max(4096, n // 8)))))  # some blocks for all cores, few copies of a row
     kind = dict(rows.dtypes)["k"]
-    own = rows.where("h IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "h", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "h", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left = (pdf["own"] == pdf["lo"]).to_numpy()
         one, two = pdf[left], pdf if (pdf["lo"] == pdf["hi"]).all() else pdf[~left]
-        found = []
-        right = two["h"].to_numpy().view(np.uint64)
-        for k in range(0, len(one), 512):
-            some = one["h"].to_numpy()[k : k + 512].view(np.uint64)
-            i, j = np.nonzero(np.bitwise_count(some[:, None] ^ right[None, :]) <= max_distance)
-            found.append((one["k"].to_numpy()[k + i], two["k"].to_numpy()[j]))
-        a, b = (np.concatenate([f[n] for f in found]) if found else one["k"].to_numpy()[:0] for n in (0, 1))
+        i, j, _ = close_pairs(one["h"].to_numpy().view(np.uint64), two["h"].to_numpy().view(np.uint64), max_distance)
+        a, b = one["k"].to_numpy()[i], two["k"].to_numpy()[j]
         keep = a < b if two is pdf else a != b
         a, b = a[keep], b[keep]
         return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)})
@@ -222,14 +266,15 @@ def cleanup_plan(selected: DataFrame, members: DataFrame, kept: DataFrame, key:
 
     ``members``: key, md5, size. Only contents with another copy may go; if all
     copies of a content are selected the largest (smallest key) stays, and
-    assets that a person kept stay.
+    assets that a person kept stay. An asset without a hash has no known copy.
     """
-    picked = members.join(selected.select(key), key, "left_semi")
-    totals = members.groupBy("md5").agg(F.count("*").alias("n"))
-    chosen = picked.join(totals, "md5").withColumn("n_selected", F.count("*").over(Window.partitionBy("md5"))).withColumn("rn", F.row_number().over(Window.partitionBy("md5").orderBy(F.desc("size"), key)))
-    marked = chosen.join(kept.select(key, F.lit(True).alias("is_kept")), key, "left")
-    reason = F.when(F.col("is_kept"), "kept").when(F.col("n") < 2, "no copy").when((F.col("n_selected") == F.col("n")) & (F.col("rn") == 1), "last copy").otherwise("duplicate")
-    return marked.select(key, F.when(reason == "duplicate", "delete").otherwise("keep").alias("action"), reason.alias("reason"))
+    rows = members.select(key, "size", content_key("md5", key).alias("content"))
+    marked = rows.join(selected.select(key, F.lit(1).alias("picked")).distinct(), key, "left")
+    mine = F.when(F.col("picked") == 1, F.struct((-F.col("size")).alias("size"), F.col(key).alias("key")))
+    facts = marked.groupBy("content").agg(F.count("*").alias("n"), F.count("picked").alias("n_selected"), F.min(mine)["key"].alias("stays"))
+    chosen = marked.where("picked = 1").join(facts, "content").join(kept.select(key, F.lit(True).alias("is_kept")).distinct(), key, "left")
+    reason = F.when(F.col("is_kept"), "kept").when(F.col("n") < 2, "no copy").when((F.col("n_selected") == F.col("n")) & (F.col(key) == F.col("stays")), "last copy").otherwise("duplicate")
+    return chosen.select(key, F.when(reason == "duplicate", "delete").otherwise("keep").alias("action"), reason.alias("reason"))
 
 
 def cascade_delete(gone: DataFrame, tables: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:

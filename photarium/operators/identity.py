@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.operators.graph import connected_components
-from photarium.operators.vectors import centroids, cosine, threshold_links, threshold_pairs
+from photarium.operators.vectors import centroids, threshold_links, threshold_pairs
 from photarium.sources.scratch import materialize
 
 #: embedding type -> (eps, metric)
@@ -18,6 +19,8 @@ CLUSTERING = {"face": (0.4, "cosine"), "legacy": (0.3, "cosine"), "primary": (0.
 KEY = ["image_path", "detection_index"]
 #: Components of all group representatives together that go to the tasks as one matrix.
 REPRESENTATIVES = 8_000_000
+#: Cells of one product of rows and centroids in a task: 64 MB.
+PRODUCT = 8_000_000
 #: Groups that one window may number; more are numbered by ranges.
 SERIALS = 1_000_000
 
@@ -47,61 +50,112 @@ def cluster_type(detections: DataFrame, embedding_type: str, key: str = "vec_id"
 
 
 def incremental_assign(detections: DataFrame, embedding_type: str, threshold: float = 0.79, margin: float = 0.02, keys: list[str] = KEY) -> DataFrame:
-    """Decision of each unassigned detection against the group centroids as they stand.
+    """Decision of each unassigned detection of a type against the group centroids as they stand; see ``assign``."""
+    typed = detections.where(F.col("embedding_type") == embedding_type)
+    reps = centroids(typed.where("group_id <> ''"), "group_id")
+    return assign(typed.where("group_id = ''").select(*keys, "embedding"), reps, threshold, margin, keys)
+
+
+def assign(pending: DataFrame, reps: DataFrame, threshold: float = 0.79, margin: float = 0.02, keys: list[str] = KEY) -> DataFrame:
+    """Decision of each row of ``pending`` (keys, embedding) against ``reps`` (group_id, centroid).
 
     Best cosine below ``threshold`` or no groups: ``create`` (own new group);
     best minus second below ``margin``: ``conflict`` (stays unassigned); else
-    ``join``. New groups are not representatives within the pass.
+    ``join``. New groups are not representatives within the pass. A vector meets
+    the centroids of its own length; one that is null, empty or not finite can't
+    be judged and is ``skip`` (stays unassigned).
     Columns: keys, decision, group_id, top_group, top_cos, second_group,
     second_cos (cosines rounded to 4).
     """
-    typed = detections.where(F.col("embedding_type") == embedding_type)
-    reps = centroids(typed.where("group_id <> ''"), "group_id")
-    pending = typed.where("group_id = ''").select(*keys, F.col("embedding"))
-    reps = materialize(reps, "representatives")
+    reps = materialize(reps.select("group_id", "centroid"), "representatives")
     if (reps.agg(F.sum(F.size("centroid")).alias("n")).first()["n"] or 0) <= REPRESENTATIVES:
         ranked = _two_best_by_matrix(pending, reps, keys)
     else:
-        scored = pending.crossJoin(reps).select(*keys, F.col("group_id").alias("g"), cosine(F.col("embedding"), F.col("centroid")).alias("cos"))
-        ranked = _two_best(scored, keys)
-    top, second = F.col("best")[0], F.get(F.col("best"), F.lit(1))
-    none = top["g"].isNull()
-    decision = F.when(none | (top["cos"] < threshold), "create").when(second.isNotNull() & (top["cos"] - second["cos"] < margin), "conflict").otherwise("join")
+        ranked = _two_best_in_blocks(pending, reps, keys)
+    top, second = F.get(F.col("best"), F.lit(0)), F.get(F.col("best"), F.lit(1))
+    decision = F.when(F.col("best").isNull(), "skip").when(top.isNull() | (top["cos"] < threshold), "create").when(second.isNotNull() & (top["cos"] - second["cos"] < margin), "conflict").otherwise("join")
     return ranked.select(*keys, decision.alias("decision"), top["g"].alias("top_group"), F.round(top["cos"], 4).alias("top_cos"), second["g"].alias("second_group"), F.round(second["cos"], 4).alias("second_cos")).select(
         *keys, "decision", F.when(F.col("decision") == "join", F.col("top_group")).when(F.col("decision") == "create", new_group_id(*keys)).otherwise("").alias("group_id"), "top_group", "top_cos", "second_group", "second_cos"
     )
 
 
+_BEST = pa.list_(pa.struct([("g", pa.string()), ("cos", pa.float64())]))
+_BEST_DDL = "array<struct<g:string,cos:double>>"
+
+
+def _by_length(reps: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centroids as ``{length: (names, unit rows)}``, names ascending."""
+    out, reps = {}, reps.combine_chunks().sort_by("group_id")
+    sizes = pc.list_value_length(reps["centroid"]).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]):  # null sizes are nan
+        some = reps.filter(pa.array(sizes == n))
+        x = pc.list_flatten(some["centroid"]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+        out[int(n)] = some["group_id"].to_numpy(zero_copy_only=False), _units(x)
+    return out
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1))[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _best_of_batch(column: pa.Array, held: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[list[dict] | None]:
+    """The two best centroids of each vector of an Arrow batch, None for a vector that can't be judged; a product has PRODUCT cells at most."""
+    out: list[list[dict] | None] = [None] * len(column)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        x = pc.list_flatten(column.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+        good = np.isfinite(x).all(axis=1)
+        rows, x = rows[good], _units(x[good])
+        names, units = held.get(int(n), (np.zeros(0, object), np.zeros((0, int(n)))))
+        step = max(1, PRODUCT // max(1, len(names)))
+        for k in range(0, len(rows), step):
+            cos = x[k : k + step] @ units.T
+            at, found = np.arange(len(cos)), [[] for _ in range(len(cos))]
+            for _ in range(min(2, len(names))):
+                top = cos.argmax(axis=1)  # of equals the smallest id
+                for i, t in enumerate(top):
+                    found[i].append({"g": names[t], "cos": float(cos[i, t])})
+                cos[at, top] = -np.inf
+            for i, r in enumerate(rows[k : k + step]):
+                out[r] = found[i]
+    return out
+
+
 def _two_best_by_matrix(pending: DataFrame, reps: DataFrame, keys: list[str]) -> DataFrame:
-    """Two best groups of each pending row by one product a batch: nothing is shuffled. The size of ``reps`` has been checked."""
-    held = reps.orderBy("group_id").collect()
-    names, matrix = np.array([r["group_id"] for r in held], dtype=object), np.array([r["centroid"] for r in held], dtype=np.float64)
-    best = pa.list_(pa.struct([("g", pa.string()), ("cos", pa.float64())]))
+    """Two best groups of each pending row by products against all centroids: nothing is shuffled. The size of ``reps`` has been checked."""
+    held = _by_length(reps.toArrow())
 
     def rank(batches):
         for batch in batches:
-            vectors, out = batch.column(len(keys)).to_pylist(), [[] for _ in range(batch.num_rows)]
-            rows = [k for k, v in enumerate(vectors) if v is not None and len(held) and len(v) == matrix.shape[1]]
-            if rows:
-                x = np.array([vectors[k] for k in rows], dtype=np.float64)
-                norm = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((matrix * matrix).sum(axis=1))[None, :]
-                cos = np.divide(x @ matrix.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                at = np.arange(len(rows))
-                for _ in range(min(2, len(held))):
-                    top = cos.argmax(axis=1)  # of equals the smallest id
-                    for i, k in enumerate(rows):
-                        out[k].append({"g": names[top[i]], "cos": cos[i, top[i]]})
-                    cos[at, top] = -np.inf
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, best)], names=[*keys, "best"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(_best_of_batch(batch.column(len(keys)), held), _BEST)], names=[*keys, "best"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in pending.select(*keys).dtypes)
-    ranked = pending.select(*keys, "embedding").mapInArrow(rank, f"{kinds}, best array<struct<g:string,cos:double>>")
-    return ranked.withColumn("best", F.when(F.size("best") > 0, F.col("best")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(None).cast("double").alias("cos")))))
-
-
-def _two_best(scored: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("cos"), "g")
-    return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "g", "cos"))), lambda s: F.struct(s["g"].alias("g"), s["cos"].alias("cos"))).alias("best"))
+    return pending.select(*keys, "embedding").mapInArrow(rank, f"{kinds}, best {_BEST_DDL}")
+
+
+def _two_best_in_blocks(pending: DataFrame, reps: DataFrame, keys: list[str], block: int | None = None) -> DataFrame:
+    """The same for more centroids than fit one matrix: blocks of rows against blocks of centroids, the two best of each merged."""
+    block = block or REPRESENTATIVES
+    parts = max(1, -(-int(reps.agg(F.sum(F.size("centroid"))).first()[0] or 0) // block))
+    size = reps.agg(F.max(F.size("centroid"))).first()[0] or 1
+    rows = materialize(pending.select(*keys, "embedding").withColumn("row_no", F.monotonically_increasing_id()), "pending")
+    own = max(1, -(-rows.count() * size // block))
+    left = rows.withColumn("p", F.pmod(F.xxhash64("row_no"), F.lit(own))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("p", "r", "row_no", "embedding")
+    right = reps.withColumn("r", F.pmod(F.xxhash64("group_id"), F.lit(parts)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(own - 1).cast("long"))))
+
+    def rank(some: pa.Table, centroids: pa.Table) -> pa.Table:
+        held = _by_length(centroids.select(["group_id", "centroid"]))
+        column = some["embedding"].combine_chunks()
+        return pa.table({"row_no": some["row_no"], "best": pa.array(_best_of_batch(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, held), _BEST)})
+
+    found = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInArrow(rank, f"row_no long, best {_BEST_DDL}")
+    flat = found.where("best IS NOT NULL").select("row_no", F.explode_outer("best").alias("b"))
+    place = F.row_number().over(Window.partitionBy("row_no").orderBy(F.desc("b.cos"), "b.g"))
+    merged = flat.withColumn("rn", place).where("rn <= 2").groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("rn", "b"))).alias("rs"))
+    best = merged.select("row_no", F.transform(F.filter("rs", lambda x: x["b"].isNotNull()), lambda x: x["b"]).alias("best"))
+    return rows.join(best, "row_no", "left").select(*keys, "best")
 
 
 def apply_assignment(detections: DataFrame, decisions: DataFrame, keys: list[str] = KEY) -> DataFrame:

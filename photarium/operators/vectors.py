@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2048
 #: Query rows that may be broadcast as one matrix.
 QUERY_ROWS = 10_000
+#: Components of the sums that a task holds before it passes them on: 16 MB.
+SUM_CELLS = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,16 +39,81 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
+def vector_sums(vectors: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
+    """``by, size, total, n``: element-wise sum and count of each group's vectors of each length.
+
+    Sums are taken in Arrow batches before anything is shuffled, so a task sends
+    one row a group, whatever the rows. Vectors that are null, empty or not
+    finite are left out.
+    """
+    partial = vectors.select(by, F.col(vec).cast("array<double>").alias("total"), F.lit(1).cast("long").alias("n"))
+    return add_sums(_added(partial, [by]).withColumn("size", F.size("total")).select(by, "size", "total", "n"), [by, "size"])
+
+
+def add_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums (keys, total, n) of the same keys added up: one row each."""
+    return _added(sums.repartition(*keys).sortWithinPartitions(*keys), keys, True)
+
+
+def _added(rows: DataFrame, keys: list[str], ordered: bool = False) -> DataFrame:
+    """Rows keys, total, n summed by keys and length within tasks; ``ordered`` rows come key by key and give one row each."""
+    kinds = {n: t for n, t in rows.dtypes}
+    schema = rows.select(*keys, "total", "n").limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        cells = 0
+
+        def flush(names: list[tuple]) -> pa.RecordBatch:
+            rows = [(k, held.pop(k)) for k in names]
+            columns = [pa.array([k[i] for k, _ in rows], schema.types[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([v[0].tolist() for _, v in rows], schema.field("total").type), pa.array([v[1] for _, v in rows], pa.int64())], schema=schema)
+
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(len(keys))).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes[sizes > 0]):
+                some = batch.filter(pa.array(sizes == n))
+                x = pc.list_flatten(some.column(len(keys))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+                good = np.isfinite(x).all(axis=1)
+                names = list(zip(*(some.column(i).filter(pa.array(good)).to_pylist() for i in range(len(keys)))))
+                x, counts = x[good], some.column(len(keys) + 1).to_numpy(zero_copy_only=False)[good]
+                codes: dict[tuple, int] = {}
+                code = np.array([codes.setdefault(k, len(codes)) for k in names], np.int64)
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+                totals, ns = (np.add.reduceat(v[order], starts) for v in (x, counts)) if len(order) else ((), ())
+                for k, total, m in zip(codes, totals, ns):
+                    key = (*k, int(n))
+                    if key in held:
+                        held[key][0] += total
+                        held[key][1] += int(m)
+                    else:
+                        held[key], cells = [total.copy(), int(m)], cells + int(n)
+            if cells > SUM_CELLS:
+                # The last key of ordered rows may go on in the next batch.
+                done = list(held)[: len(held) - ordered]
+                yield flush(done)
+                cells = sum(len(v[0]) for v in held.values())
+        if held:
+            yield flush(list(held))
+
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "total array<double>, n long"])
+    return rows.select(*keys, "total", "n").mapInArrow(run, ddl)
+
+
 def centroids(vectors: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
     """``by, centroid, members``: element-wise mean in double, then unit length; a zero mean is dropped.
 
-    Positions are averaged by hash aggregation with map-side combine, so a large
-    group costs no more than its partial sums.
+    Sums by ``vector_sums``. Of a group with vectors of several lengths the most
+    frequent length counts, of equals the longer.
     """
-    parts = vectors.select(by, F.posexplode(vec).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    packed = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"), F.max("n").alias("members"))
-    mean = packed.select(by, F.transform("ms", lambda s: s["m"]).alias("mean"), "members")
-    return mean.where(l2_norm(F.col("mean")) > 0).select(by, unit(F.col("mean")).alias("centroid"), "members")
+    return centroids_of_sums(vector_sums(vectors, by, vec), by)
+
+
+def centroids_of_sums(sums: DataFrame, by: str) -> DataFrame:
+    """``by, centroid, members`` of rows by, size, total, n."""
+    most = sums.groupBy(by).agg(F.max_by(F.struct("total", "n"), F.struct("n", "size")).alias("s")).select(by, F.transform("s.total", lambda x: x / F.col("s.n")).alias("mean"), F.col("s.n").alias("members"))
+    return most.where(l2_norm(F.col("mean")) > 0).select(by, unit(F.col("mean")).alias("centroid"), "members")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -287,7 +287,7 @@ _ASKED = [(1, "2024"), (2, "g1"), (3, "人物"), (4, "")]
 
 @query(f"""+ q(query_id, text) AS (VALUES (1, '2024'), (2, 'g1'), (3, '人物'), (4, '')),
 s AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS serial FROM groups),
-h AS (SELECT id, created_at, lower(concat(name, ' ', CASE WHEN trim(name) <> '' THEN trim(name) ELSE concat('未命名', CASE type WHEN 'person' THEN '人物' ELSE '角色' END, ' #', lpad(CAST(serial AS STRING), 3, '0')) END, ' ', id, ' ', CASE type WHEN 'person' THEN '人物 person' ELSE '角色 character' END)) AS hay FROM s),
+h AS (SELECT id, created_at, lower(concat(name, ' ', CASE WHEN trim(name) <> '' THEN trim(name) ELSE concat('未命名', CASE type WHEN 'person' THEN '人物' ELSE '角色' END, ' #', lpad(CAST(serial AS STRING), 3, '0')) END, ' ', id, ' ', CASE type WHEN 'person' THEN '人物 person 真人 face 人' ELSE '角色 character 兽装 fursuit fur 兽' END)) AS hay FROM s),
 g AS (SELECT query_id, 'groups' AS section, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) AS rank, id AS key FROM h, q WHERE contains(hay, lower(text))),
 a AS (SELECT name, {_DATE} AS day, doc_id % 7 = 0 AS fav FROM assets),
 p AS (SELECT query_id, 'photos' AS section, row_number() OVER (PARTITION BY query_id ORDER BY name) AS rank, name AS key FROM a, q WHERE contains(lower(name), lower(text)) AND day BETWEEN '2024-01-01' AND '2024-06-30'),
@@ -510,18 +510,43 @@ def stream_ingest_dedup(spark, d):
     return spark.read.parquet(out).select("md5")
 
 
-@query(_assign_sql(0.20, 0.02), "detections")
+def _replayed_sql(batches: int, threshold: float, margin: float) -> str:
+    """The batches one after another: each decides its rows, and the conflicts before it, by the centroids that the last one left."""
+    out = ["""typed AS (SELECT vec_id % 3 AS part, image_path, detection_index, group_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM detections WHERE embedding_type = 'primary')""", "grouped0 AS (SELECT group_id, e FROM typed WHERE group_id <> '')", "open0 AS (SELECT image_path, detection_index, e FROM typed WHERE false)"]
+    for b in range(batches):
+        out.append(f"""pos{b} AS (SELECT group_id, i, avg(e[i]) AS m FROM (SELECT group_id, e, unnest(range(1, len(e) + 1)) AS i FROM grouped{b}) GROUP BY 1, 2),
+cen{b} AS MATERIALIZED (SELECT group_id, list(m ORDER BY i) AS v, sqrt(sum(m * m)) AS n FROM pos{b} GROUP BY 1),
+pend{b} AS (SELECT image_path, detection_index, e FROM typed WHERE group_id = '' AND part = {b} UNION ALL SELECT * FROM open{b}),
+rank{b} AS (SELECT *, row_number() OVER (PARTITION BY image_path, detection_index ORDER BY c DESC, group_id) AS r FROM (SELECT image_path, detection_index, e, group_id, list_dot_product(e, v) / (n * sqrt(list_dot_product(e, e))) AS c FROM pend{b}, cen{b})),
+dec{b} AS MATERIALIZED (SELECT a.image_path, a.detection_index, a.e, a.group_id AS top_group, a.c AS c1, z.group_id AS second_group, z.c AS c2, CASE WHEN a.c < {threshold} THEN 'create' WHEN z.c IS NOT NULL AND a.c - z.c < {margin} THEN 'conflict' ELSE 'join' END AS decision
+  FROM (SELECT * FROM rank{b} WHERE r = 1) a LEFT JOIN (SELECT * FROM rank{b} WHERE r = 2) z USING (image_path, detection_index)),
+named{b} AS MATERIALIZED (SELECT *, CASE decision WHEN 'join' THEN top_group WHEN 'create' THEN substr(sha256(concat(image_path, ':', CAST(detection_index AS STRING))), 1, 16) ELSE '' END AS group_id FROM dec{b}),
+grouped{b + 1} AS MATERIALIZED (SELECT * FROM grouped{b} UNION ALL SELECT group_id, e FROM named{b} WHERE group_id <> ''),
+open{b + 1} AS (SELECT image_path, detection_index, e FROM named{b} WHERE decision = 'conflict')""")
+    every = " UNION ALL ".join(f"SELECT {b} AS b, * FROM named{b}" for b in range(batches))
+    return "+ " + ",\n".join(out) + f"""
+SELECT image_path, detection_index, decision, group_id, top_group, round(c1, 4) AS top_cos, second_group, round(c2, 4) AS second_cos
+FROM (SELECT *, row_number() OVER (PARTITION BY image_path, detection_index ORDER BY b DESC) AS r FROM ({every})) WHERE r = 1"""
+
+
+@query(_replayed_sql(3, 0.30, 0.05), "detections")
 def stream_assign(spark, d):
-    stream, out = _staged(spark, d, "detections")
-    jobs.assign_stream(stream, table(spark, d, "detections"), out, f"{out}-checkpoint", "primary", 0.20, 0.02).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    """Three batches; groups learn, new ones can be joined later, conflicts are tried again."""
+    det = table(spark, d, "detections")
+    src, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    for part in range(3):  # a file a batch, in this order
+        det.where(F.col("vec_id") % 3 == part).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.assign_stream(stream, det, out, f"{out}-checkpoint", "primary", 0.30, 0.05, every=2).awaitTermination()
+    return jobs.assigned(spark, out)
 
 
 @query("SELECT doc_id, arg_max(human_category, seq) AS human_category, max(seq) AS seq FROM feedback GROUP BY 1", "feedback")
 def stream_latest(spark, d):
-    stream, out = _staged(spark, d, "feedback")
-    jobs.latest_table_stream(stream, out, f"{out}-checkpoint").awaitTermination()
-    return labels.latest_feedback(spark.read.parquet(out))
+    stream, out = _staged(spark, d, "feedback", 5)
+    jobs.latest_table_stream(stream, out, f"{out}-checkpoint", every=2).awaitTermination()
+    kinds = dict(stream.dtypes)
+    return jobs.latest_table(spark, out, f"doc_id {kinds['doc_id']}, human_category string, seq {kinds['seq']}", every=2).read()
 
 
-from photarium.plans import more_queries  # noqa: E402, F401  (registers its queries here)
+from photarium.plans import deep_queries, more_queries  # noqa: E402, F401  (they register their queries here)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photarium.operators.dedup import content_key
+
 
 def category_histogram(analysis: DataFrame, category: str = "category", human: str = "human_category") -> DataFrame:
     """``category, n``: the human label first, most frequent first."""
@@ -40,7 +42,7 @@ def _pending_state(incoming: DataFrame, library: DataFrame, known: DataFrame, ke
 def catalogue_statistics(detections: DataFrame, assets: DataFrame, analysis: DataFrame, key: str = "image_path") -> DataFrame:
     """One row; '' is not counted as a group."""
     d = detections.agg(F.count("*").alias("detections"), F.countDistinct(F.when(F.col("group_id") != "", F.col("group_id"))).alias("groups"), F.count_if(F.col("embedding_type") == "face").alias("faces"))
-    dup = assets.groupBy("md5").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_copies"))
+    dup = assets.groupBy(content_key("md5", "doc_id")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_copies"))
     n = assets.agg(F.count("*").alias("assets"))
     a = analysis.join(assets.select("doc_id"), "doc_id", "left").agg(F.countDistinct("doc_id").alias("analysed"))
     return d.crossJoin(n).crossJoin(a).crossJoin(dup).withColumn("unanalysed", F.greatest(F.lit(0), F.col("assets") - F.col("analysed")))  # one row each
@@ -86,5 +88,5 @@ def health_report(tables: dict[str, DataFrame]) -> DataFrame:
         gap = row("index_gap", live.join(tables["vectors"].select("image_path"), "image_path", "left_anti"), live.agg(F.count("*").alias("total")))
         any_vector = tables["vectors"].agg((F.count("*") > 0).alias("built"))
         out = out.union(gap.crossJoin(any_vector).select("key", F.when(F.col("built"), F.col("status")).otherwise("ok").alias("status"), "count", "detail"))
-    surplus = tables["assets"].groupBy("md5").agg(F.count("*").alias("n"))
+    surplus = tables["assets"].groupBy(content_key("md5", "image_path")).agg(F.count("*").alias("n"))
     return out.union(row("surplus_copies", surplus, count=F.coalesce(F.sum(F.col("n") - 1), F.lit(0))))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from photarium.functions.labels import display_name
 from photarium.operators.identity import group_serials
+from photarium.plans.search_index import SubstringIndex
 from photarium.sources.catalog import asset_date
-from photarium.sources.scratch import bounded
 
 PREFIX = "a photo of "
 #: Words that find a group by its type.
-TYPE_KEYWORDS = {"character": "角色 character", "person": "人物 person"}
+TYPE_KEYWORDS = {"character": "角色 character 兽装 fursuit fur 兽", "person": "人物 person 真人 face 人"}
 
 
 def has_cjk(text: Column) -> Column:
@@ -63,39 +63,57 @@ def group_haystack(groups: DataFrame) -> DataFrame:
     return named.withColumn("haystack", F.lower(F.concat_ws(" ", "name", "label", "id", F.coalesce(words[F.col("type")], F.lit("")))))
 
 
-def search_groups(groups: DataFrame, queries: DataFrame, limit: int = 15, type_filter: str = "all") -> DataFrame:
-    """``query_id, section, rank, key``: groups whose name, label, id or type words contain the query."""
-    rows = group_haystack(groups if type_filter == "all" else groups.where(F.col("type") == type_filter))
-    hits = rows.join(bounded(queries, 10_000), F.col("haystack").contains(F.lower("text")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", F.lit("groups").alias("section"), "rank", F.col("id").alias("key"))
+def group_index(groups: DataFrame, path: str | None = None) -> SubstringIndex:
+    """Index over names, labels, ids and type words, newest group first."""
+    return SubstringIndex.build(group_haystack(groups), "haystack", [F.desc("created_at"), "id"], path)
 
 
-def search_assets(assets: DataFrame, favorites: DataFrame, queries: DataFrame, limit: int = 20, date_from: str | None = None, date_to: str | None = None, favorite_only: bool = False, section: str = "photos") -> DataFrame:
-    """Assets by name, inclusive dates and favourite mark, in name order; filters act on an empty query too."""
-    marked = assets.join(favorites.select("name", F.lit(True).alias("fav")).dropDuplicates(["name"]), "name", "left_semi" if favorite_only else "left")
-    day = asset_date()
+def asset_index(assets: DataFrame, favorites: DataFrame, path: str | None = None) -> SubstringIndex:
+    """Index over asset names, in name order, with the day and the favourite mark."""
+    marked = assets.join(favorites.select("name", F.lit(True).alias("fav")).distinct(), "name", "left")
+    rows = marked.select("name", asset_date().alias("day"), F.coalesce("fav", F.lit(False)).alias("fav"))
+    return SubstringIndex.build(rows, "name", ["name"], path)
+
+
+def _filters(date_from: str | None, date_to: str | None, favorite_only: bool) -> Column:
+    keep = F.lit(True)
     if date_from:
-        marked = marked.where(day >= date_from)
+        keep &= F.col("day") >= date_from
     if date_to:
-        marked = marked.where(day <= date_to)
-    hits = marked.select("name").join(bounded(queries, 10_000), F.lower("name").contains(F.lower("text")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("name"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", F.lit(section).alias("section"), "rank", F.col("name").alias("key"))
+        keep &= F.col("day") <= date_to
+    return keep & F.col("fav") if favorite_only else keep
+
+
+def search_groups(groups: DataFrame | SubstringIndex, queries: DataFrame, limit: int = 15, type_filter: str = "all") -> DataFrame:
+    """``query_id, section, rank, key``: groups whose name, label, id or type words contain the query."""
+    index = groups if isinstance(groups, SubstringIndex) else group_index(groups)
+    hits = index.search(queries, limit, None if type_filter == "all" else F.col("type") == type_filter)
+    return hits.select("query_id", F.lit("groups").alias("section"), "rank", F.col("id").alias("key"))
+
+
+def search_assets(assets: DataFrame | SubstringIndex, favorites: DataFrame | None, queries: DataFrame, limit: int = 20, date_from: str | None = None, date_to: str | None = None, favorite_only: bool = False, section: str = "photos") -> DataFrame:
+    """Assets by name, inclusive dates and favourite mark, in name order; filters act on an empty query too."""
+    index = assets if isinstance(assets, SubstringIndex) else asset_index(assets, favorites)
+    hits = index.search(queries, limit, _filters(date_from, date_to, favorite_only))
+    return hits.select("query_id", F.lit(section).alias("section"), "rank", F.col("name").alias("key"))
 
 
 def catalog_search(tables: dict[str, DataFrame], queries: DataFrame, limit_groups: int = 15, limit_photos: int = 20, limit_favorites: int = 6, limit_semantic: int = 4, type_filter: str = "all", date_from: str | None = None, date_to: str | None = None, favorite_only: bool = False) -> DataFrame:
     """``query_id, section, rank, key`` over groups, photos, favorites and, if ``tables`` has
     ``vectors`` (key, vector) and ``query_vectors`` (query_id, variant, vector), semantic hits.
 
-    Favourites-only semantic search filters before it ranks.
+    ``tables`` may hold ``group_index`` and ``asset_index``, else they are built
+    here, once for all sections. Favourites-only semantic search filters before it
+    ranks.
     """
     from photarium.operators.vectors import vector_topk
 
     dates = {"date_from": date_from, "date_to": date_to}
-    out = search_groups(tables["groups"], queries, limit_groups, type_filter)
-    out = out.union(search_assets(tables["assets"], tables["favorites"], queries, limit_photos, **dates, favorite_only=favorite_only))
-    out = out.union(search_assets(tables["assets"], tables["favorites"], queries, limit_favorites, **dates, favorite_only=True, section="favorites"))
+    by_group = tables.get("group_index") or group_index(tables["groups"])
+    by_name = tables.get("asset_index") or asset_index(tables["assets"], tables["favorites"])
+    out = search_groups(by_group, queries, limit_groups, type_filter)
+    out = out.union(search_assets(by_name, None, queries, limit_photos, **dates, favorite_only=favorite_only))
+    out = out.union(search_assets(by_name, None, queries, limit_favorites, **dates, favorite_only=True, section="favorites"))
     if "vectors" in tables:
         alive = tables["favorites"].select(F.col("name").alias("key")) if favorite_only else None
         variants = tables["query_vectors"].select("query_id", F.col("query_id").alias("fused"), "vector")

@@ -175,11 +175,12 @@ def archive_plan(assets: DataFrame, categories: DataFrame, existing: DataFrame,
     suffix that a real name, of the batch or (column name, if there) of
     ``existing`` files of that category, has. No file is touched.
     """
-    first = F.row_number().over(Window.partitionBy("md5").orderBy(key)) == 1
     known = assets.join(existing.select("md5").distinct(), "md5", "left_semi").select(key, F.lit(None).cast("string").alias("dest"), F.lit("duplicate").alias("status"))
-    fresh = assets.join(existing.select("md5").distinct(), "md5", "left_anti").withColumn("first", first)
-    repeats = fresh.where("NOT first").select(key, F.lit(None).cast("string"), F.lit("duplicate"))
-    named = fresh.where("first").join(categories.select(key, "category"), key, "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    # Assets without a hash stay in the anti join, each a content of its own.
+    fresh = assets.join(existing.select("md5").distinct(), "md5", "left_anti").withColumn("content", F.coalesce(F.concat(F.lit("md5:"), "md5"), F.concat(F.lit("key:"), F.col(key).cast("string"))))
+    firsts = fresh.groupBy("content").agg(F.min(key).alias(key)).select(key)
+    repeats = fresh.join(firsts, key, "left_anti").select(key, F.lit(None).cast("string"), F.lit("duplicate"))
+    named = fresh.join(firsts, key, "left_semi").join(categories.select(key, "category"), key, "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
     # Names that are taken already start behind themselves, so a first asset gets a suffix as well.
     names = named.select("category", "name", F.lit(0).alias("taken"))
     if {"category", "name"} <= set(existing.columns):

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from photarium.operators.identity import incremental_assign
+from photarium.operators.identity import assign
+from photarium.operators.vectors import add_sums, centroids_of_sums, vector_sums
+from photarium.sources.scratch import discard, exists, materialize, temporary
+from photarium.streaming.tables import KeyedTable
 
 
 def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -38,20 +41,86 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_
     return _run(seen, checkpoint, step, "update")
 
 
-def assign_stream(stream: DataFrame, grouped: DataFrame, out: str, checkpoint: str, embedding_type: str = "primary", threshold: float = 0.79, margin: float = 0.02, keys: list[str] | None = None) -> StreamingQuery:
-    """Decisions of each batch of unassigned detections against ``grouped`` as it stands."""
-    keys = keys or ["image_path", "detection_index"]
+def _sums(rows: DataFrame) -> DataFrame:
+    """STATE of rows ``group_id, embedding``; vectors of different lengths don't mix."""
+    return vector_sums(rows, "group_id")
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = grouped.where("group_id <> ''").unionByName(batch.where("group_id = ''"), allowMissingColumns=True)
-        incremental_assign(rows, embedding_type, threshold, margin, keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(stream, checkpoint, step)
+STATE = "group_id string, size int, total array<double>, n long"
+
+
+def assign_stream(stream: DataFrame, grouped: DataFrame, out: str, checkpoint: str, embedding_type: str = "primary", threshold: float = 0.79, margin: float = 0.02, keys: list[str] | None = None, every: int = 8) -> StreamingQuery:
+    """Decisions on each batch of unassigned detections, by groups that learn from batch to batch.
+
+    Each group's running vector sum and count are a keyed table under
+    ``out/groups``, begun from ``grouped`` when the stream first runs. A batch
+    reads one frozen copy of it, decides its rows against those centroids, and
+    writes the sums of the groups it touched: what joins moves a centroid, and a
+    group founded in one batch can be joined in the next, not before. Detections
+    in conflict stay open and are decided again with the next batch, whose
+    decision replaces the last one. A key that was seen in an earlier batch is
+    not decided anew (streaming state).
 
+    Writes ``out/decisions/batch=n``; ``assigned(spark, out, keys)`` reads the
+    last decision of each detection. Nothing but the touched groups, the open
+    conflicts and the batch itself is written, whatever the groups' sizes.
+    """
+    keys, spark = keys or ["image_path", "detection_index"], stream.sparkSession
+    groups = KeyedTable(spark, f"{out}/groups", STATE, ["group_id", "size"], every=every)
+    if not groups.started():
+        typed = grouped.where((F.col("embedding_type") == embedding_type) & (F.col("group_id") != ""))
+        groups.start(_sums(typed))
+    fresh = stream.where((F.col("embedding_type") == embedding_type) & (F.col("group_id") == "")).select(*keys, F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(keys)
+    fields = ", ".join(f"`{n}` {t}" for n, t in fresh.dtypes)
+
+    def step(batch: DataFrame, number: int) -> None:
+        groups.fold(number)
+        state = materialize(groups.read(number), "groups")
+        # Conflicts that the last batch has left; a replay finds the same ones.
+        left = f"{out}/open/batch={number - 1}"
+        waiting = spark.read.schema(fields).parquet(left) if number and exists(spark, left) else spark.createDataFrame([], fields)
+        rows = materialize(batch.select(*keys, "embedding").union(waiting.select(*keys, "embedding")), "batch")
+        decided = materialize(assign(rows, centroids_of_sums(state, "group_id"), threshold, margin, keys), "decided")
+        vectors = rows.join(decided, keys)
+        gained = _sums(vectors.where("decision IN ('join', 'create')").select("group_id", "embedding"))
+        touched = state.join(gained.select("group_id", "size"), ["group_id", "size"], "left_semi").unionByName(gained)
+        groups.write(number, add_sums(touched, ["group_id", "size"]))
+        vectors.where("decision = 'conflict'").select(*keys, "embedding").write.mode("overwrite").parquet(f"{out}/open/batch={number}")
+        decided.write.mode("overwrite").parquet(f"{out}/decisions/batch={number}")
+        if number > 1:
+            discard(spark, f"{out}/open/batch={number - 2}")
+
+    def run(batch: DataFrame, number: int) -> None:
+        with temporary(spark):
+            step(batch, number)
+
+    return _run(fresh, checkpoint, run)
+
+
+def assigned(spark, out: str, keys: list[str] | None = None) -> DataFrame:
+    """The last decision of each detection of an ``assign_stream``."""
+    keys, rows = keys or ["image_path", "detection_index"], spark.read.parquet(f"{out}/decisions")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest))
+
+
+def latest_table(spark, out: str, schema: str, key: str = "doc_id", order: str = "seq", every: int = 8) -> KeyedTable:
+    return KeyedTable(spark, out, schema, [key], [order], every)
+
+
+def latest_table_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", order: str = "seq", value: str = "human_category", every: int = 8) -> StreamingQuery:
+    """The last ``value`` of each key by ``order``, as a keyed table under ``out``: a snapshot and the changes of at most ``every`` batches.
+
+    Late rows lose against what the table holds; of equal orders the larger
+    value wins, and across batches the later batch. Read it with
+    ``latest_table(...).read()``.
+    """
+    kinds, spark = dict(stream.dtypes), stream.sparkSession
+    kept = latest_table(spark, out, f"`{key}` {kinds[key]}, `{value}` {kinds[value]}, `{order}` {kinds[order]}", key, order, every)
 
-def latest_table_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", order: str = "seq", value: str = "human_category") -> StreamingQuery:
-    """Latest rows of each batch; reading ``out`` with ``max_by`` over the batches gives the table."""
     def step(batch: DataFrame, number: int) -> None:
-        batch.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept.fold(number)
+        last = batch.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(value), F.max(order).alias(order))
+        kept.write(number, last)
 
     return _run(stream, checkpoint, step)
