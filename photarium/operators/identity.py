@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.operators.graph import connected_components
-from photarium.operators.vectors import centroids, threshold_links, threshold_pairs
+from photarium.operators.vectors import PRODUCT, centroids, threshold_links, threshold_pairs
 from photarium.sources.scratch import materialize
 
 #: embedding type -> (eps, metric)
@@ -19,8 +19,6 @@ CLUSTERING = {"face": (0.4, "cosine"), "legacy": (0.3, "cosine"), "primary": (0.
 KEY = ["image_path", "detection_index"]
 #: Components of all group representatives together that go to the tasks as one matrix.
 REPRESENTATIVES = 8_000_000
-#: Cells of one product of rows and centroids in a task: 64 MB.
-PRODUCT = 8_000_000
 #: Groups that one window may number; more are numbered by ranges.
 SERIALS = 1_000_000
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: Vectors of one side of a block pair.
 BLOCK_ROWS = 2048
-#: Query rows that may be broadcast as one matrix.
-QUERY_ROWS = 10_000
+#: Components of all queries together that go to the tasks as one matrix: 64 MB.
+QUERY_CELLS = 8_000_000
+#: Cells of one product of vectors in a task: 64 MB.
+PRODUCT = 8_000_000
 #: Components of the sums that a task holds before it passes them on: 16 MB.
 SUM_CELLS = 2_000_000
 
@@ -116,10 +118,6 @@ def centroids_of_sums(sums: DataFrame, by: str) -> DataFrame:
     return most.where(l2_norm(F.col("mean")) > 0).select(by, unit(F.col("mean")).alias("centroid"), "members")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-
-
 def threshold_pairs(vectors: DataFrame, key: str, vec: str, minimum: float, blocks: int | None = None) -> DataFrame:
     """``a, b, similarity`` of all pairs a < b with cosine >= ``minimum``: the exact self join.
 
@@ -182,7 +180,48 @@ def threshold_links(vectors: DataFrame, key: str, vec: str, minimum: float, bloc
     return dealt.groupBy("lo", "hi").applyInPandas(stars, f"a {kind}, b {kind}")
 
 
-def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, min_sim: float | None) -> DataFrame:
+def _best_of_block(keys: pa.Array, x: np.ndarray, queries: np.ndarray, starts: np.ndarray, own: dict, k: int, min_sim: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, query, similarity)`` of the k best rows of each query, all ties included; a query is the run of ``queries`` from its start.
+
+    ``own``: key -> queries that leave it out. Rows are taken in slices, so that
+    a product has PRODUCT cells at most.
+    """
+    held = []
+    names = keys.to_pylist() if own else ()
+    step = max(k, PRODUCT // max(1, len(queries)))
+    for low in range(0, len(x), step):
+        sim = x[low : low + step] @ queries.T
+        fused = np.maximum.reduceat(sim, starts, axis=1)
+        np.copyto(fused, -np.inf, where=np.isnan(fused))
+        for i, name in enumerate(names[low : low + step]):
+            for q in own.get(name, ()):
+                fused[i, q] = -np.inf
+        # equal scores at the border all stay, so that ties end as in a full sort
+        cut = np.partition(fused, -k, axis=0)[-k] if len(fused) > k else np.full(fused.shape[1], -np.inf)
+        i, q = np.nonzero((fused >= cut) & (fused > -np.inf) & ((fused >= min_sim) if min_sim is not None else True))
+        held.append((i + low, q, fused[i, q]))
+    return tuple(np.concatenate([h[n] for h in held]) if held else np.zeros(0, np.int64) for n in range(3))
+
+
+def _asked(table: pa.Table, dim: int, exclude_self: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, dict]:
+    """Queries ``g, q, v`` as ``(names, matrix, starts, own)``: variants of a query stand together."""
+    table = table.sort_by("g").combine_chunks()
+    matrix = pc.list_flatten(table["v"]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    codes: dict = {}
+    groups = table["g"].to_pylist()
+    place = np.array([codes.setdefault(g, len(codes)) for g in groups], np.int64)
+    own: dict = {}
+    if exclude_self:
+        for g, q in set(zip(groups, table["q"].to_pylist())):
+            own.setdefault(q, []).append(codes[g])
+    return pa.array(list(codes), table.schema.field("g").type), matrix, np.flatnonzero(np.diff(place, prepend=-1)), own
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, dim: int, k: int, exclude_self: bool, min_sim: float | None) -> DataFrame:
     """``query_id, key, similarity`` candidates of more queries than fit one matrix: blocks of queries against blocks of vectors.
 
     ``vectors``: key, vector; ``queries``: g, q, v. A task holds a block of each
@@ -193,22 +232,16 @@ def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude_self
     right = queries.withColumn("qb", F.pmod(F.xxhash64("g"), F.lit(qb)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
     kind, out = dict(vectors.dtypes)["key"], dict(queries.dtypes)["g"]
 
-    def score(one, two):
-        none = pd.DataFrame({"query_id": two["g"].iloc[:0], "key": one["key"].iloc[:0], "similarity": np.zeros(0)})
-        if not len(one) or not len(two):
-            return none
-        sim = pd.DataFrame(np.stack(two["v"].to_numpy()).astype(np.float64) @ np.stack(one["vector"].to_numpy()).astype(np.float64).T)
-        if exclude_self:
-            same = two["q"].to_numpy()[:, None] == one["key"].to_numpy()[None, :]
-            hit = pd.DataFrame(same).groupby(two["g"].to_numpy()).transform("any").to_numpy()
-            sim = sim.mask(hit, -np.inf)
-        fused = sim.groupby(two["g"].to_numpy()).max()
-        values = fused.to_numpy()
-        cut = np.partition(values, -k, axis=1)[:, -k][:, None] if values.shape[1] > k else -np.inf
-        i, j = np.nonzero((values >= cut) & (values > -np.inf) & ((values >= min_sim) if min_sim is not None else True))
-        return pd.DataFrame({"query_id": fused.index.to_numpy()[i], "key": one["key"].to_numpy()[j], "similarity": values[i, j]})
+    def score(one: pa.Table, two: pa.Table) -> pa.Table:
+        one = one.combine_chunks()
+        if not (one.num_rows and two.num_rows):
+            names, i, q, sim = pa.array([], two.schema.field("g").type), *(np.zeros(0, np.int64),) * 2, np.zeros(0)
+        else:
+            names, matrix, starts, own = _asked(two, dim, exclude_self)
+            i, q, sim = _best_of_block(one["key"], _vectors(one["vector"], dim), matrix, starts, own, k, min_sim)
+        return pa.table({"query_id": names.take(pa.array(q)), "key": one["key"].take(pa.array(i)), "similarity": sim})
 
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(score, f"query_id {out}, key {kind}, similarity double")
+    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(score, f"query_id {out}, key {kind}, similarity double")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vec: str = "vector", fuse_by: str | None = None, exclude_self: bool = True, alive: DataFrame | None = None, min_sim: float | None = None) -> DataFrame:
@@ -216,50 +249,37 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key"
 
     ``queries``: ``query_id, vector`` and, with ``fuse_by``, that column: an
     asset's similarity is then its maximum over the variants of a query. Queries
-    go to the tasks as one matrix, or from QUERY_ROWS on in blocks; each batch keeps
-    its own top k for each query, and one window ranks what is left. ``alive``
-    (column ``key``) drops dead rows before the ranking, so k hits stay k.
+    go to the tasks as one matrix of up to QUERY_CELLS components, or beyond in
+    blocks; each batch keeps its own top k for each query, and one window ranks
+    what is left. ``alive`` (column ``key``) drops dead rows before the ranking,
+    so k hits stay k. Queries of different lengths are an error; a query without
+    a vector has no hits, vectors of another length or null are no hits, and a
+    similarity that is no number counts as none.
     """
     if alive is not None:
         vectors = vectors.join(alive.select(F.col(alive.columns[0]).alias(key)), key, "left_semi")
     group = fuse_by or "query_id"
-    asked = queries.select(F.col(group).alias("g"), F.col("query_id").alias("q"), F.col("vector").cast("array<double>").alias("v"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
-    held = asked.limit(QUERY_ROWS + 1).collect()
-    if len(held) > QUERY_ROWS:
-        rows = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-        return _topk_in_blocks(rows, asked.where("v IS NOT NULL"), k, exclude_self, min_sim).withColumn("rank", rank).where(F.col("rank") <= k)
+    asked = queries.select(F.col(group).alias("g"), F.col("query_id").alias("q"), F.col("vector").cast("array<double>").alias("v")).where("size(v) > 0")
     kind, out = dict(vectors.dtypes)[key], dict(queries.dtypes)[group]
-    empty = vectors.sparkSession.createDataFrame([], f"query_id {out}, key {kind}, similarity double, rank int")
-    if not held:
-        return empty
-    matrix = np.array([r["v"] for r in held])
-    names = sorted({r["g"] for r in held})
-    place = np.array([names.index(r["g"]) for r in held])
-    own = [{r["q"] for r in held if r["g"] == n} for n in names]
+    shape = asked.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("dim")).first()
+    if not shape["n"]:
+        return vectors.sparkSession.createDataFrame([], f"query_id {out}, key {kind}, similarity double, rank int")
+    if shape["low"] != shape["dim"]:
+        raise ValueError(f"queries of {shape['low']} to {shape['dim']} components")
+    dim = shape["dim"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vector")).where(F.size("vector") == dim)
+    if shape["n"] * dim > QUERY_CELLS:
+        return _topk_in_blocks(rows, asked, dim, k, exclude_self, min_sim).withColumn("rank", rank).where(F.col("rank") <= k)
+    names, matrix, starts, own = _asked(asked.toArrow(), dim, exclude_self)
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if not batch.num_rows:
-                continue
-            keys, sim = batch.column(0), _matrix(batch.column(1)) @ matrix.T
-            fused = np.full((len(sim), len(names)), -np.inf)
-            for n, p in enumerate(place):
-                np.maximum(fused[:, p], sim[:, n], out=fused[:, p])
-            if exclude_self:
-                for n, ids in enumerate(own):
-                    fused[np.isin(keys.to_numpy(zero_copy_only=False), list(ids)), n] = -np.inf
-            # equal scores at the border all stay, so that ties end as in a full sort
-            cut = np.partition(fused, -k, axis=0)[-k] if len(fused) > k else np.full(len(names), -np.inf)
-            i, q = np.nonzero((fused >= cut) & (fused > -np.inf) & ((fused >= min_sim) if min_sim is not None else True))
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], type=_arrow(out)), keys.take(pa.array(i)), pa.array(fused[i, q])], names=["query_id", "key", "similarity"])
-
-    best = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vector")).where("vector IS NOT NULL").mapInArrow(scan, f"query_id {out}, key {kind}, similarity double")
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+            i, q, sim = _best_of_block(batch.column(0), _vectors(batch.column(1), dim), matrix, starts, own, k, min_sim)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(i)), pa.array(sim)], names=["query_id", "key", "similarity"])
 
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    best = rows.mapInArrow(scan, f"query_id {out}, key {kind}, similarity double")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def check_model(vectors: DataFrame, model_id: str, column: str = "model_id") -> DataFrame:
