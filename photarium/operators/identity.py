@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.operators.graph import connected_components
-from photarium.operators.vectors import PRODUCT, centroids, threshold_links, threshold_pairs
+from photarium.operators.vectors import PRODUCT, centroids, matrix_of, units
+from photarium.operators.threshold import threshold_links, threshold_pairs
 from photarium.sources.scratch import materialize
 
 #: embedding type -> (eps, metric)
@@ -87,29 +88,23 @@ def _by_length(reps: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     sizes = pc.list_value_length(reps["centroid"]).to_numpy(zero_copy_only=False)
     for n in np.unique(sizes[sizes > 0]):  # null sizes are nan
         some = reps.filter(pa.array(sizes == n))
-        x = pc.list_flatten(some["centroid"]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
-        out[int(n)] = some["group_id"].to_numpy(zero_copy_only=False), _units(x)
+        out[int(n)] = some["group_id"].to_numpy(zero_copy_only=False), units(matrix_of(some["centroid"], int(n)))
     return out
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((x * x).sum(axis=1))[:, None]
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
 def _best_of_batch(column: pa.Array, held: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[list[dict] | None]:
     """The two best centroids of each vector of an Arrow batch, None for a vector that can't be judged; a product has PRODUCT cells at most."""
     out: list[list[dict] | None] = [None] * len(column)
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     for n in np.unique(sizes[sizes > 0]):
         rows = np.flatnonzero(sizes == n)
-        x = pc.list_flatten(column.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+        x = matrix_of(column.take(pa.array(rows)), int(n))
         good = np.isfinite(x).all(axis=1)
-        rows, x = rows[good], _units(x[good])
-        names, units = held.get(int(n), (np.zeros(0, object), np.zeros((0, int(n)))))
+        rows, x = rows[good], units(x[good])
+        names, sides = held.get(int(n), (np.zeros(0, object), np.zeros((0, int(n)))))
         step = max(1, PRODUCT // max(1, len(names)))
         for k in range(0, len(rows), step):
-            cos = x[k : k + step] @ units.T
+            cos = x[k : k + step] @ sides.T
             at, found = np.arange(len(cos)), [[] for _ in range(len(cos))]
             for _ in range(min(2, len(names))):
                 top = cos.argmax(axis=1)  # of equals the smallest id

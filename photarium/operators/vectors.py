@@ -41,6 +41,17 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; zero rows stay zero."""
+    norm = np.sqrt((x * x).sum(axis=1))[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def matrix_of(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of an Arrow column of lists of ``dim`` numbers; null numbers are nan."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def vector_sums(vectors: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
     """``by, size, total, n``: element-wise sum and count of each group's vectors of each length.
 
@@ -75,7 +86,7 @@ def _added(rows: DataFrame, keys: list[str], ordered: bool = False) -> DataFrame
             sizes = pc.list_value_length(batch.column(len(keys))).to_numpy(zero_copy_only=False)
             for n in np.unique(sizes[sizes > 0]):
                 some = batch.filter(pa.array(sizes == n))
-                x = pc.list_flatten(some.column(len(keys))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+                x = matrix_of(some.column(len(keys)), int(n))
                 good = np.isfinite(x).all(axis=1)
                 names = list(zip(*(some.column(i).filter(pa.array(good)).to_pylist() for i in range(len(keys)))))
                 x, counts = x[good], some.column(len(keys) + 1).to_numpy(zero_copy_only=False)[good]
@@ -118,68 +129,6 @@ def centroids_of_sums(sums: DataFrame, by: str) -> DataFrame:
     return most.where(l2_norm(F.col("mean")) > 0).select(by, unit(F.col("mean")).alias("centroid"), "members")
 
 
-def threshold_pairs(vectors: DataFrame, key: str, vec: str, minimum: float, blocks: int | None = None) -> DataFrame:
-    """``a, b, similarity`` of all pairs a < b with cosine >= ``minimum``: the exact self join.
-
-    Rows are dealt into blocks by a hash of the key, every unordered pair of
-    blocks is one group, and a group is one matrix product. A row is copied once
-    for each block, so a task holds two blocks and nothing larger.
-    """
-    if blocks is None:
-        blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    kind = dict(rows.dtypes)["k"]
-
-    def product(pdf):
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm > 0, norm, 1)[:, None]
-        left = pdf["own"].to_numpy() == pdf["lo"].to_numpy()
-        i0 = np.flatnonzero(left)
-        j0 = i0 if (pdf["lo"] == pdf["hi"]).all() else np.flatnonzero(~left)
-        sim = x[i0] @ x[j0].T
-        i, j = np.nonzero(sim >= minimum)
-        s = sim[i, j]
-        a, b = pdf["k"].to_numpy()[i0[i]], pdf["k"].to_numpy()[j0[j]]
-        keep = a < b if j0 is i0 else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": s})
-
-    return dealt.groupBy("lo", "hi").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
-
-
-def threshold_links(vectors: DataFrame, key: str, vec: str, minimum: float, blocks: int | None = None) -> DataFrame:
-    """``a, b``: links that connect what pairs with cosine >= ``minimum`` connect.
-
-    The block products of ``threshold_pairs``, but each gives a spanning star of
-    what is connected inside it instead of its pairs: at most one row a vector.
-    """
-    if blocks is None:
-        blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    kind = dict(rows.dtypes)["k"]
-
-    def stars(pdf):
-        x, k = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["k"].to_numpy()
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm > 0, norm, 1)[:, None]
-        near = x @ x.T >= minimum
-        label = np.arange(len(k))
-        while True:
-            new = np.where(near, label[None, :], len(k)).min(axis=1)
-            new = np.minimum(new, label)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = label != np.arange(len(k))
-        return pd.DataFrame({"a": k[moved], "b": k[label[moved]]})
-
-    return dealt.groupBy("lo", "hi").applyInPandas(stars, f"a {kind}, b {kind}")
-
-
 def _best_of_block(keys: pa.Array, x: np.ndarray, queries: np.ndarray, starts: np.ndarray, own: dict, k: int, min_sim: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, query, similarity)`` of the k best rows of each query, all ties included; a query is the run of ``queries`` from its start.
 
@@ -206,7 +155,7 @@ def _best_of_block(keys: pa.Array, x: np.ndarray, queries: np.ndarray, starts: n
 def _asked(table: pa.Table, dim: int, exclude_self: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, dict]:
     """Queries ``g, q, v`` as ``(names, matrix, starts, own)``: variants of a query stand together."""
     table = table.sort_by("g").combine_chunks()
-    matrix = pc.list_flatten(table["v"]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    matrix = matrix_of(table["v"], dim)
     codes: dict = {}
     groups = table["g"].to_pylist()
     place = np.array([codes.setdefault(g, len(codes)) for g in groups], np.int64)
@@ -217,10 +166,6 @@ def _asked(table: pa.Table, dim: int, exclude_self: bool) -> tuple[pa.Array, np.
     return pa.array(list(codes), table.schema.field("g").type), matrix, np.flatnonzero(np.diff(place, prepend=-1)), own
 
 
-def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
 def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, dim: int, k: int, exclude_self: bool, min_sim: float | None) -> DataFrame:
     """``query_id, key, similarity`` candidates of more queries than fit one matrix: blocks of queries against blocks of vectors.
 
@@ -238,7 +183,7 @@ def _topk_in_blocks(vectors: DataFrame, queries: DataFrame, dim: int, k: int, ex
             names, i, q, sim = pa.array([], two.schema.field("g").type), *(np.zeros(0, np.int64),) * 2, np.zeros(0)
         else:
             names, matrix, starts, own = _asked(two, dim, exclude_self)
-            i, q, sim = _best_of_block(one["key"], _vectors(one["vector"], dim), matrix, starts, own, k, min_sim)
+            i, q, sim = _best_of_block(one["key"], matrix_of(one["vector"], dim), matrix, starts, own, k, min_sim)
         return pa.table({"query_id": names.take(pa.array(q)), "key": one["key"].take(pa.array(i)), "similarity": sim})
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(score, f"query_id {out}, key {kind}, similarity double")
@@ -275,7 +220,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key"
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            i, q, sim = _best_of_block(batch.column(0), _vectors(batch.column(1), dim), matrix, starts, own, k, min_sim)
+            i, q, sim = _best_of_block(batch.column(0), matrix_of(batch.column(1), dim), matrix, starts, own, k, min_sim)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(i)), pa.array(sim)], names=["query_id", "key", "similarity"])
 
     best = rows.mapInArrow(scan, f"query_id {out}, key {kind}, similarity double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photarium.operators import dedup
+from photarium.operators import dedup, identity
 from photarium.plans import reports, search
 from photarium.plans.queries import _FP, fingerprints, query
 from photarium.plans.search_index import SubstringIndex
@@ -122,3 +122,37 @@ def group_search(spark, d):
     words = spark.createDataFrame([(w,) for w in ("人", "真人", "FACE ", "fur", "fursuit", "兽装", "兽", "nothing")], "w string")
     asked = groups.select(F.col("id").alias("query_id"), F.substring("id", 2, 2).alias("text")).union(words.select(F.concat(F.lit("w"), "w"), "w"))
     return search.search_groups(groups, asked).select("query_id", "rank", "key")
+
+
+# Each third detection again, its vector moved by up to a quarter of its length, so that some stay within a preset's distance and some don't.
+_MOVED = """m AS (SELECT vec_id, embedding_type, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM detections
+  UNION ALL SELECT vec_id + 1000000, embedding_type, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 0.05 * (vec_id % 4) * ((vec_id * i) % 7 - 3) / 2.0) FROM detections WHERE vec_id % 3 = 0)"""
+
+
+def _moved(spark, d):
+    det = table(spark, d, "detections").select("vec_id", "embedding_type", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: x + 0.05 * (F.col("vec_id") % 4) * ((F.col("vec_id") * (i + 1)) % 7 - 3) / 2.0)
+    return det.union(det.where("vec_id % 3 = 0").select(F.col("vec_id") + 1_000_000, "embedding_type", turned))
+
+
+def _cluster_sql(kind: str, minimum: float) -> str:
+    return f"""+ {_MOVED}, v AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM m WHERE embedding_type = '{kind}'),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= {minimum}),
+s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
+SELECT a AS vertex, min(b) AS component FROM r GROUP BY a"""
+
+
+@query(_cluster_sql("face", 1 - 0.4), "detections")
+def cluster_face(spark, d):
+    return identity.cluster_type(_moved(spark, d), "face")
+
+
+@query(_cluster_sql("legacy", 1 - 0.3), "detections")
+def cluster_legacy(spark, d):
+    return identity.cluster_type(_moved(spark, d), "legacy")
+
+
+@query(_cluster_sql("primary", 1 - 0.6481**2 / 2), "detections")
+def cluster_primary(spark, d):
+    return identity.cluster_type(_moved(spark, d), "primary")

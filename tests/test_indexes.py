@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photarium.operators import dedup, identity, vectors
+from photarium.operators import dedup, identity, threshold, vectors
 from photarium.plans.search_index import SubstringIndex
 
 
@@ -64,15 +64,15 @@ def test_product_is_bounded():
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    units = identity._units(rng.standard_normal((100_000, 16)))
-    held = {16: (np.array([f"g{k}" for k in range(100_000)], dtype=object), units)}
+    sides = vectors.units(rng.standard_normal((100_000, 16)))
+    held = {16: (np.array([f"g{k}" for k in range(100_000)], dtype=object), sides)}
     column = pa.array(rng.standard_normal((300, 16)).tolist(), pa.list_(pa.float64()))
     tracemalloc.start()
     found = identity._best_of_batch(column, held)
     assert tracemalloc.get_traced_memory()[1] < 256 << 20
     tracemalloc.stop()
-    x = identity._units(np.array(column.to_pylist()))
-    assert [f[0]["g"] for f in found] == [f"g{k}" for k in (x @ units.T).argmax(axis=1)]
+    x = vectors.units(np.array(column.to_pylist()))
+    assert [f[0]["g"] for f in found] == [f"g{k}" for k in (x @ sides.T).argmax(axis=1)]
 
 
 def test_topk_routes(spark, monkeypatch):
@@ -146,3 +146,47 @@ def test_no_hash_is_no_copy(spark):
     assert sorted(r["doc_id"] for r in dedup.first_per_hash(rows).collect()) == [1, 2, 3]
     plan = {r["doc_id"]: r["reason"] for r in dedup.cleanup_plan(rows, rows, rows.limit(0), "doc_id").collect()}
     assert plan == {1: "no copy", 2: "no copy", 3: "duplicate", 4: "last copy"}
+
+
+def clustered(seed, centres=30, each=20, dim=16, noise=0.12):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.standard_normal((centres, dim)), each, axis=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) + noise * rng.standard_normal(x.shape) / np.sqrt(dim)
+
+
+@pytest.mark.parametrize("pivots,rows", [(1, 2048), (25, 2048), (25, 5)])
+def test_threshold_cells(spark, monkeypatch, pivots, rows):
+    """Any pivots, cells whole or cut: the pairs and components of brute force; odd vectors have none."""
+    monkeypatch.setattr(threshold, "CELL_ROWS", rows)
+    x = np.concatenate([clustered(8, 12, 12), np.repeat(clustered(9, 1, 1), 30, axis=0)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(f"k{k:03}", v.tolist()) for k, v in enumerate(x)] + [("null", None), ("empty", []), ("nan", [float("nan")] * 16), ("zero", [0.0] * 16), ("zero2", [0.0] * 16), ("short", [1.0]), ("short2", [2.0])]
+    df = spark.createDataFrame(data, "k string, v array<double>")
+    want = {(f"k{i:03}", f"k{j:03}") for i in range(len(x)) for j in range(i + 1, len(x)) if u[i] @ u[j] >= 0.8} | {("short", "short2")}
+    got = [(r["a"], r["b"]) for r in threshold.threshold_pairs(df, "k", "v", 0.8, pivots).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    label = {k: k for k, _ in data}
+    for _ in range(len(x)):
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    links = threshold.threshold_links(df, "k", "v", 0.8, pivots)
+    assert {r["vertex"]: r["component"] for r in identity.connected_components(df.select("k"), links).collect()} == label
+    assert links.count() <= 8 * len(data)
+
+
+def test_pivots_prune(spark):
+    """On grouped vectors few of the pairs are compared."""
+    x = clustered(10, 40, 50)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    (cells,) = threshold.threshold_cells(df, "k", "v", 0.9, 100)
+    compared = cells.compared().agg(F.sum("pairs")).first()[0]
+    assert compared < 0.25 * len(x) * (len(x) - 1) / 2
+
+
+def test_threshold_lsh(spark):
+    x = clustered(11, 40, 10)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    exact = {(r["a"], r["b"]): r["similarity"] for r in threshold.threshold_pairs(df, "k", "v", 0.9).collect()}
+    found = {(r["a"], r["b"]): r["similarity"] for r in threshold.threshold_pairs_lsh(df, "k", "v", 0.9).collect()}
+    assert set(found) <= set(exact) and len(found) >= 0.95 * len(exact) > 500
+    assert all(abs(exact[k] - s) < 1e-9 for k, s in found.items())

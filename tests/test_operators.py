@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photarium.functions import labels
-from photarium.operators import dedup, graph, identity, quality, vectors
+from photarium.operators import dedup, graph, identity, quality, threshold, vectors
 from photarium.plans import ingest, search
 from photarium.sources import catalog, images
 
@@ -83,7 +83,7 @@ def test_threshold_pairs_brute(spark):
     x = rng.standard_normal((90, 6))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
-    got = {(r["a"], r["b"]) for r in vectors.threshold_pairs(df, "k", "v", 0.7, blocks=3).collect()}
+    got = {(r["a"], r["b"]) for r in threshold.threshold_pairs(df, "k", "v", 0.7, pivots=3).collect()}
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.7}
 
 
