@@ -6,12 +6,16 @@ that a replayed batch replaces its own output: exactly once by idempotence.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from photarium.operators.dedup import content_key
 from photarium.operators.identity import assign
 from photarium.operators.vectors import add_sums, centroids_of_sums, vector_sums
 from photarium.sources.scratch import discard, exists, materialize, temporary
@@ -22,23 +26,61 @@ def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], No
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
-def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", md5: str = "md5") -> StreamingQuery:
+def _first_seen(ttl_ms: int | None):
+    """Rows of one content and its record: the key it was first seen with, and when it last came (kept with a ``ttl_ms`` only)."""
+
+    def run(content: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs() if ttl_ms else 0
+        first, last = state.get if state.exists else (None, None)
+        keys = [k for some in rows for k in some["key"].tolist()]
+        if last is None or (ttl_ms and now - last >= ttl_ms):
+            first = min(keys)
+            yield pd.DataFrame({"key": [first], "content": [content[0]]})
+        state.update((first, now))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+
+    return run
+
+
+@contextmanager
+def _state_settings(spark):
+    """State on RocksDB; and no batches without data, since an open timeout would ask for them without end."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_id", md5: str = "md5", ttl_ms: int | None = None) -> StreamingQuery:
     """First row of each content over the life of the stream, as ``key, md5`` under ``out``.
 
-    Within a batch the smallest key wins, across batches the earlier batch; null
-    is a content like any other. What was seen is the state of a streaming
-    aggregate, so a batch touches its own contents only and nothing is reread;
-    the state grows with the distinct contents (use the RocksDB store for many).
+    Within a batch the smallest key wins, across batches the earlier batch. Each
+    content has a record of the key it was first seen with, in keyed state on
+    RocksDB, so that neither clocks nor replays decide, and a batch touches its own
+    contents only. With ``ttl_ms`` a record goes once its content has not come
+    for so long, which bounds the state; a copy that comes later is first again.
+    A row without a hash is a content of its own, as in a batch.
     """
-    # The current time is one value for each micro-batch, also when the batch is replayed.
-    rows = stream.select(F.col(key).alias("key"), F.col(md5).alias("content"), F.current_timestamp().alias("at"))
-    seen = rows.groupBy("content").agg(F.min(F.struct("at", "key")).alias("first"), F.max("at").alias("last"))
+    kind = dict(stream.dtypes)[key]
+    rows = stream.select(F.col(key).alias("key"), content_key(md5, key).alias("content"))
+    with _state_settings(stream.sparkSession):
+        timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+        seen = rows.groupBy("content").applyInPandasWithState(_first_seen(ttl_ms), f"key {kind}, content string", f"first {kind}, last long", "update", timeout)
 
-    def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.where("first.at = last").select(F.col("first.key").alias(key), F.col("content").alias(md5))
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        def step(batch: DataFrame, number: int) -> None:
+            hashed = F.when(F.col("content").startswith("md5:"), F.substring("content", 5, 1 << 30))
+            batch.select(F.col("key").alias(key), hashed.alias(md5)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(seen, checkpoint, step, "update")
+        return _run(seen, checkpoint, step, "update")
 
 
 def _sums(rows: DataFrame) -> DataFrame:

@@ -91,3 +91,26 @@ def test_keyed_table_cut_short(spark, tmp_path):
     assert read() == {1: "a", 2: "c", 3: None} and len(os.listdir(tmp_path / "t/snapshot")) >= 1
     shutil.rmtree(tmp_path / "t")
     assert read() == {}
+
+
+def test_ingest_stream_state(spark, tmp_path):
+    """Replays change nothing, late copies lose, rows without a hash all stay, expired contents are first again."""
+    import time
+
+    schema, out, log = "doc_id long, md5 string", str(tmp_path / "out"), str(tmp_path / "log")
+
+    def run(rows, **more):
+        stream = feed(spark, tmp_path / "in", rows, schema)
+        jobs.ingest_stream(stream, out, log, **more).awaitTermination()
+        return sorted((r["doc_id"], r["md5"]) for r in spark.read.schema(schema).parquet(out).select("doc_id", "md5").collect())
+
+    assert run([(5, "a"), (4, "a"), (7, None), (8, None)], ttl_ms=3_600_000) == [(4, "a"), (7, None), (8, None)]
+    assert run([(1, "a"), (9, "b")], ttl_ms=3_600_000) == [(4, "a"), (7, None), (8, None), (9, "b")]
+    last = max(glob.glob(f"{log}/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
+    os.remove(last)
+    os.remove(f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc")
+    assert run([(2, "b")], ttl_ms=3_600_000) == [(4, "a"), (7, None), (8, None), (9, "b")]
+    out, log = str(tmp_path / "short"), str(tmp_path / "short-log")
+    first = run([(20, "c")], ttl_ms=1)
+    time.sleep(0.1)
+    assert (20, "c") in first and (21, "c") in run([(21, "c")], ttl_ms=1)
