@@ -9,7 +9,9 @@ from photarium.plans import reports, search
 from photarium.plans.queries import _FP, fingerprints, query
 from photarium.plans.search_index import SubstringIndex
 from photarium.sources import catalog
+from photarium.sources.detections import DetectionTable
 from photarium.sources.fixtures import table
+from photarium.sources.scratch import scratch_path
 
 # Each fourth print again, with 0 to 15 bits in a row turned over.
 _NEAR = _FP.replace("fp AS (", "fp0 AS (").replace(",\npr AS", """,
@@ -156,3 +158,20 @@ def cluster_legacy(spark, d):
 @query(_cluster_sql("primary", 1 - 0.6481**2 / 2), "detections")
 def cluster_primary(spark, d):
     return identity.cluster_type(_moved(spark, d), "primary")
+
+
+@query("""+ x AS (SELECT vec_id, image_path, detection_index, confidence FROM detections WHERE vec_id % 5 < 3),
+y AS (SELECT vec_id + 1000 AS vec_id, image_path, detection_index, 1 - confidence AS confidence FROM detections WHERE vec_id % 4 = 1),
+w AS (SELECT image_path FROM (SELECT image_path, count(*) AS n FROM y GROUP BY 1) JOIN (SELECT image_path, count(*) AS m FROM detections WHERE vec_id % 4 = 1 AND vec_id % 7 > 0 GROUP BY 1) USING (image_path) WHERE n = m),
+z AS (SELECT * FROM y WHERE image_path IN (SELECT image_path FROM w)),
+t AS (SELECT * FROM x WHERE (image_path, detection_index) NOT IN (SELECT (image_path, detection_index) FROM z) UNION ALL SELECT * FROM z)
+SELECT vec_id, image_path, detection_index, round(confidence, 4) AS confidence FROM t WHERE image_path NOT IN (SELECT image_path FROM detections WHERE vec_id % 11 = 0)""", "detections")
+def detection_table(spark, d):
+    """Three commits to one table: a load, a batch of which incomplete assets wait, a removal."""
+    det = table(spark, d, "detections").select("vec_id", "image_path", "detection_index", "confidence")
+    kept = DetectionTable(spark, scratch_path(spark, "detections"), ", ".join(f"{n} {t}" for n, t in det.dtypes), 16)
+    kept.upsert(det.where("vec_id % 5 < 3"))
+    new = det.where("vec_id % 4 = 1").withColumns({"vec_id": F.col("vec_id") + 1000, "confidence": 1 - F.col("confidence")})
+    kept.upsert(new, det.where("vec_id % 4 = 1 AND vec_id % 7 > 0").groupBy("image_path").agg(F.count("*").alias("n")))
+    kept.remove(det.where("vec_id % 11 = 0").select("image_path").distinct())
+    return kept.read().withColumn("confidence", F.round("confidence", 4))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,35 +24,67 @@ def has_cjk(text: Column) -> Column:
     return text.rlike("[一-鿿]")
 
 
-def _variants(text: str, terms: list[tuple[str, list[str]]], limit: int) -> list[str]:
-    text = (text or "").strip()
-    if not text:
-        return []
-    free, words = text, []
-    for term, english in terms:  # longest first; a matched span is blanked so that no shorter term sees it
-        if term in free:
-            free = free.replace(term, "\0" * len(term))
-            words += [w for w in english if w not in words]
-    found = [text, *([PREFIX + ", ".join(words)] if words else []), *(PREFIX + w for w in words)]
-    return list(dict.fromkeys(found))[: max(1, limit)]
+class Dictionary:
+    """Terms in one automaton, so that matching costs the text's length and its matches, not the number of terms.
+
+    ``terms``: (term, words), the more important first. Longer terms are matched
+    first, equal lengths in the given order; a matched span is taken, so that no
+    shorter term sees it.
+    """
+
+    def __init__(self, terms: list[tuple[str, list[str]]]):
+        self.terms = sorted(terms, key=lambda x: -len(x[0]))
+        self.automaton = ahocorasick.Automaton()
+        for n, (term, _) in enumerate(self.terms):
+            if term:
+                self.automaton.add_word(term, (*self.automaton.get(term, ()), n))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        self.always = [n for n, (term, _) in enumerate(self.terms) if not term]
+
+    def words(self, text: str) -> list[str]:
+        """English words of the terms that ``text`` holds, in the order of matching."""
+        met: dict[int, list[int]] = {n: [] for n in self.always}
+        for end, ns in self.automaton.iter(text) if len(self.automaton) else ():
+            for n in ns:
+                met.setdefault(n, []).append(end + 1 - len(self.terms[n][0]))
+        taken, out = np.zeros(len(text), bool), {}
+        for n in sorted(met):
+            term, words = self.terms[n]
+            spans = [(s, s + len(term)) for s in met[n]]
+            found = not term
+            for low, high in spans:
+                if not taken[low:high].any():
+                    taken[low:high] = found = True
+            if found:
+                out.update(dict.fromkeys(words))
+        return list(out)
+
+    def variants(self, text: str | None, limit: int) -> list[str]:
+        text = (text or "").strip()
+        if not text:
+            return []
+        words = self.words(text)
+        found = [text, *([PREFIX + ", ".join(words)] if words else []), *(PREFIX + w for w in words)]
+        return list(dict.fromkeys(found))[: max(1, limit)]
 
 
 def expand_queries(queries: DataFrame, terms: DataFrame, limit: int = 4) -> DataFrame:
     """``query_id, variant_no, variant``: the raw text and prompts from a term dictionary.
 
     ``terms``: term, words (array), position; a dictionary of at most 100,000
-    rows, else an error. Longer terms are matched first, equal lengths in
-    dictionary order.
+    rows, else an error. See ``Dictionary``; each task builds one.
     """
     rows = terms.orderBy("position").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 terms")
-    table = sorted(((r["term"], list(r["words"])) for r in rows), key=lambda x: -len(x[0]))
+    table = [(r["term"], list(r["words"])) for r in rows]
     kind = dict(queries.dtypes)["query_id"]
 
     def expand(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Dictionary(table)
         for pdf in it:
-            out = [(q, n, v) for q, t in zip(pdf["query_id"], pdf["text"]) for n, v in enumerate(_variants(t, table, limit))]
+            out = [(q, n, v) for q, t in zip(pdf["query_id"], pdf["text"]) for n, v in enumerate(known.variants(t, limit))]
             yield pd.DataFrame(out, columns=["query_id", "variant_no", "variant"])
 
     return queries.select("query_id", "text").mapInPandas(expand, f"query_id {kind}, variant_no int, variant string")
