@@ -275,9 +275,10 @@ def index_delta(assets: DataFrame, vectors: DataFrame, encoder: Callable[[], Cal
     skipped_existing, skipped_md5, new, failed.
     """
     sig = [key, "md5", "size", "mtime"]
-    kept = vectors.join(assets.select(sig), sig, "left_semi")
-    first = F.row_number().over(Window.partitionBy("md5").orderBy(key)) == 1
-    todo = assets.join(kept.select(sig), sig, "left_anti")
+    now = assets.select(*(F.col(c).alias(f"{c}_now") for c in sig))
+    kept = vectors.join(now, [F.col(c).eqNullSafe(F.col(f"{c}_now")) for c in sig], "left_semi")
+    first = F.row_number().over(Window.partitionBy(F.coalesce(F.concat(F.lit("md5:"), "md5"), F.concat(F.lit("key:"), F.col(key).cast("string")))).orderBy(key)) == 1
+    todo = assets.join(kept.select(key), key, "left_anti")
     known = todo.join(kept.select("md5").distinct(), "md5", "left_semi")
     fresh = todo.join(kept.select("md5").distinct(), "md5", "left_anti").withColumn("first", first)
     coded = encode(fresh.where("first"), encoder, key, content)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from photarium.operators import dedup, identity
+from photarium.operators.chunked import ChunkedIndex
 from photarium.plans import reports, search
 from photarium.plans.queries import _FP, fingerprints, query
 from photarium.plans.search_index import SubstringIndex
@@ -175,3 +176,33 @@ def detection_table(spark, d):
     kept.upsert(new, det.where("vec_id % 4 = 1 AND vec_id % 7 > 0").groupBy("image_path").agg(F.count("*").alias("n")))
     kept.remove(det.where("vec_id % 11 = 0").select("image_path").distinct())
     return kept.read().withColumn("confidence", F.round("confidence", 4))
+
+
+@query("""WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS us0 FROM events),
+x AS (SELECT user_id, event_id, (us - us0) / 1000000.0 AS second, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM t),
+r AS (SELECT user_id, event_id, second, i, 0 AS sample_no, 1 AS next, true AS taken FROM x WHERE i = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.second, x.i, r.next, r.next + CASE WHEN x.second + 1800 >= r.next * 259200 THEN 1 ELSE 0 END, x.second + 1800 >= r.next * 259200 FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1)
+SELECT user_id, event_id, CAST(sample_no AS BIGINT) AS sample_no, CAST(round(second * 1000) AS BIGINT) AS at_ms FROM r WHERE taken""")
+def ordered_samples(spark, d):
+    """A sample each three days of a user's events, half an hour of tolerance."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = e.groupBy("user_id").agg(F.min("us").alias("us0"))
+    series = e.join(first, "user_id").select("user_id", "event_id", ((F.col("us") - F.col("us0")) / 1e6).alias("second"))
+    return catalog.ordered_sample(series, "user_id", "second", 259_200, 1800, ["event_id"]).select("user_id", "event_id", "sample_no", "at_ms")
+
+
+def _coder():
+    return lambda text: [float(len(text)), 1.0] if len(text) % 10 else [1.0]
+
+
+@query("""+ h AS (SELECT DISTINCT md5 FROM assets WHERE doc_id % 2 = 0 AND size % 10 <> 0),
+a AS (SELECT doc_id, md5, size, doc_id % 2 = 0 AND size % 10 <> 0 AND doc_id = min(doc_id) FILTER (doc_id % 2 = 0) OVER (PARTITION BY md5) AS held FROM assets),
+f AS (SELECT doc_id, row_number() OVER (PARTITION BY md5 ORDER BY doc_id) AS r FROM a WHERE md5 NOT IN (SELECT md5 FROM h))
+SELECT doc_id, CASE WHEN held THEN 'skipped_existing' WHEN f.doc_id IS NULL OR r > 1 THEN 'skipped_md5' WHEN size % 10 = 0 THEN 'failed' ELSE 'new' END AS status FROM a LEFT JOIN f USING (doc_id)""", "assets")
+def chunked_index(spark, d):
+    """Half of the assets in one build, all of them in the next, a hundred or so a chunk."""
+    a = table(spark, d, "assets").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    index = ChunkedIndex(spark, scratch_path(spark, "index"), "doc_id", "long")
+    rows = max(100, a.count() // 5)
+    index.build(a.where("doc_id % 2 = 0"), _coder, 2, "text", rows)
+    return index.build(a, _coder, 2, "text", rows)

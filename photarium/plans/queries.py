@@ -549,4 +549,4 @@ def stream_latest(spark, d):
     return jobs.latest_table(spark, out, f"doc_id {kinds['doc_id']}, human_category string, seq {kinds['seq']}", every=2).read()
 
 
-from photarium.plans import deep_queries, more_queries  # noqa: E402, F401  (they register their queries here)
+from photarium.plans import more_queries, deep_queries  # noqa: E402, F401  (they register their queries here)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photarium.sources.scratch import materialize
+
 #: Extension -> format.
 FORMATS = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff", "heic": "heic", "heif": "heic"}
 
@@ -200,3 +202,44 @@ def timeline_sample(df: DataFrame, key: str, t: str, interval: float) -> DataFra
     """First row of each ``interval`` of a keyed series; ``t`` in seconds, half-frame tolerance left to the caller."""
     cols = [c for c in df.columns if c != key]
     return df.withColumn("bin", F.floor(F.col(t) / interval)).groupBy(key, "bin").agg(F.min_by(F.struct(*cols), F.struct(t, *[c for c in cols if c != t])).alias("row")).select(key, "bin", *(F.col(f"row.{c}").alias(c) for c in cols))
+
+
+def ordered_sample(df: DataFrame, key: str, t: str, interval: float, tolerance: float | str = 0.0, ties: list[str] | None = None) -> DataFrame:
+    """Rows of keyed series that a player in order would take: ``df`` with ``sample_no`` and ``at_ms``.
+
+    Sample k of a key is due at k * ``interval`` (``t`` in seconds from its
+    beginning). Rows come by ``t`` and then ``ties``; a row is taken if it comes no
+    earlier than ``tolerance`` (a number or a column; half a frame) before the next
+    due time, and then the one after is due: behind a gap rows are taken one after
+    the other until the samples have caught up.
+
+    With c the number of due times that have passed at a row, and k of them taken
+    before it, min(k + 1, c) are taken after it; so after row i it is i + 1 or less,
+    i plus the least c - j of the rows j so far. That is a running minimum: rows
+    are dealt into ranges of key and time once, and a range begins with the minimum
+    of the ranges before, so one key may hold all rows. Null times are left out.
+    """
+    order = [key, t, *(ties or [])]
+    ready = F.col(t).cast("double") + (F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance)))
+    c = F.floor(ready / interval) + 1
+    # Division may round across a due time.
+    c = F.greatest(F.lit(0), F.when(c * interval <= ready, c + 1).when((c - 1) * interval > ready, c - 1).otherwise(c)).cast("long")
+    ranged = df.where(F.col(t).isNotNull()).withColumn("c_", c).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumn("part_", F.spark_partition_id()), "series")
+    ranges = ranged.groupBy(key, "part_").agg(F.count("*").alias("n_"), F.min("row_").alias("row0_"), F.min(F.col("c_") - F.col("row_")).alias("low_"))
+    earlier = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+    least = F.min(F.col("low_") + F.col("row0_") - F.col("before_")).over(earlier)
+    ranges = materialize(ranges.select(F.col(key).alias("key_"), "part_", (F.col("before_") - F.col("row0_")).alias("shift_"), least.alias("least_")), "ranges")
+    placed = ranged.join(ranges, ranged[key].eqNullSafe(ranges["key_"]) & (ranged["part_"] == ranges["part_"])).drop(ranges["part_"])
+    i = F.col("row_") + F.col("shift_")
+    inside = Window.partitionBy("key_", "part_").orderBy("row_")
+
+    def taken(frame) -> Column:
+        """Rows taken by the end of ``frame``, less the number of the row behind it."""
+        return F.least(F.lit(0), F.least("least_", F.min(F.col("c_") - i).over(frame)) - 1)
+
+    before = i + F.when(i == 0, 0).otherwise(taken(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    after = i + 1 + taken(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = placed.withColumns({"sample_no": before, "after_": after}).where("after_ > sample_no")
+    return rows.select(*df.columns, "sample_no", F.round(F.col(t) * 1000).cast("long").alias("at_ms"))

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from photarium.operators.chunked import ChunkedIndex
 from photarium.plans.search import Dictionary, PREFIX
+from photarium.sources import catalog
 from photarium.sources.detections import DetectionTable
 
 ROW = "image_path string, detection_index int, confidence double"
@@ -86,3 +88,68 @@ def test_large_dictionary():
     began = time.perf_counter()
     one_by_one(texts[0], terms, 4)
     assert each < (time.perf_counter() - began) / 5
+
+
+def test_chunked_index_resumes(spark, tmp_path):
+    """A run lost in its second chunk: the next one encodes nothing of the first again."""
+    log = tmp_path / "encoded"
+    log.mkdir()
+    rows = [(f"p{k:02}", f"m{k}" if k % 9 else None, 10, k, f"text {k}") for k in range(40)] + [("z", "m1", 10, 1, "text 1")]
+    assets = spark.createDataFrame(rows, "path string, md5 string, size long, mtime long, content string")
+    chunk_of = {r["path"]: r["c"] for r in assets.select("path", (F.xxhash64("path") % 2 != 0).cast("int").alias("c")).collect()}
+    bad = next(r for r in rows if chunk_of[r[0]] == 1)[4]
+
+    def coder(broken):
+        def load():
+            def one(text):
+                if broken and text == bad:
+                    os._exit(1)  # the worker is lost, and its retries as well
+                (log / f"{text}-{os.urandom(4).hex()}").touch()
+                return [float(len(text)), 1.0] if text != "text 7" else [1.0]
+
+            return one
+
+        return load
+
+    index = ChunkedIndex(spark, f"file://{tmp_path}/index")
+    with pytest.raises(Exception):
+        index.build(assets, coder(True), 2, chunk_rows=21)
+    done = {f.name.rsplit("-", 1)[0] for f in log.iterdir()}
+    first = {r[4] for r in rows[:40] if chunk_of[r[0]] == 0}
+    assert first <= done and len(os.listdir(tmp_path / "index")) == 1
+    for f in log.iterdir():
+        f.unlink()
+    status = {r["path"]: r["status"] for r in index.build(assets, coder(False), 2, chunk_rows=21).collect()}
+    again = {f.name.rsplit("-", 1)[0] for f in log.iterdir()}
+    assert not again & (first - {"text 7"}) and len(again) == len(list(log.iterdir()))
+    assert status["z"] == "skipped_md5" and status["p07"] == "failed" and sorted(status) == sorted(r[0] for r in rows)
+    assert sum(s == "new" for s in status.values()) + sum(s == "skipped_existing" for s in status.values()) == 39
+    live = assets.where("path < 'p20'")
+    index.compact(live)
+    assert len(os.listdir(tmp_path / "index")) == 1 and index.vectors(assets).count() == 19
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_ordered_sample(spark, parts):
+    """As a player takes them: half-frame tolerance, catching up behind gaps, one key with nearly all rows."""
+    rng = random.Random(parts)
+    rows, no = [], 0
+    for key, n in ((1, 900), (2, 30), (None, 30), (4, 1)):
+        second = 0.0 if key != 2 else 7.0
+        for _ in range(n):
+            rows.append((key, no, second))
+            no += 1
+            second = round(second + rng.choice([0, 0.1, 0.1, 0.1, 0.5, 9]), 6)
+    rows.append((5, no, None))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = [tuple(r) for r in catalog.ordered_sample(spark.createDataFrame(rows, "k long, id long, second double"), "k", "second", 1.0, 0.05, ["id"]).select("k", "id", "sample_no", "at_ms").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want, due = [], {}
+    for key, i, second in rows:
+        if second is not None and second + 0.05 >= due.get(key, 0) * 1.0:
+            want.append((key, i, due.get(key, 0), round(second * 1000)))
+            due[key] = due.get(key, 0) + 1
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert [r for r in got if r[0] == 4] == [(4, 960, 0, 0)]
