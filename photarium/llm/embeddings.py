@@ -20,9 +20,11 @@ MOST_TABLES = 256
 #: Collisions that a pair needs at least; the calibrated count can be higher.
 LEAST = 2
 #: Vectors a bucket holds on average; the number of sign bits follows from it and the row count.
-BUCKET = 48
+BUCKET = 192
 #: Rows of one block of a crowded bucket.
 BLOCK = 1024
+#: Queries of a bucket that are multiplied with their windows at once.
+QUERIES = 256
 #: Bucket sizes (16 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 RECALL = 0.98
@@ -86,38 +88,43 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def block_links(left: np.ndarray, right: np.ndarray | None, table: int, proj: Projections) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked vectors for which ``table`` is the first table where they collide.
 
-    Left and right share the table's bucket (right None: left with itself). The
-    table's projection is sorted and each query takes the window centred on it;
-    pairs in the window get their collisions over all tables counted, and those
+    Left and right share the table's bucket (right None: left with itself). Both
+    are sorted by the table's projection, and each query takes the window centred
+    on it. Pairs in the window are sifted by their product; for the rows that are
+    left, few in most buckets, collisions over all tables are counted, and pairs
     that reach the calibrated count are verified in double precision.
     """
     lu = _unit(left)
     ru = lu if right is None else _unit(right)
-    lp, rp = lu @ proj.lines, ru @ proj.lines
-    order = np.argsort(rp[:, table], kind="stable")
-    sorted_line = rp[order, table]
-    low = np.searchsorted(sorted_line, lp[:, table] - proj.window, "left")
-    high = np.searchsorted(sorted_line, lp[:, table] + proj.window, "right")
-    lb, rb = proj.buckets(lu), proj.buckets(ru)
-    found_i, found_j = [], []
-    step = max(1, (1 << 18) // max(1, len(order)))
-    for k in range(0, len(lu), step):
-        n = high[k : k + step] - low[k : k + step]
-        i = np.repeat(np.arange(k, k + len(n)), n)
-        j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[k : k + step], n)]
+    lp, rp = lu @ proj.lines[:, table], ru @ proj.lines[:, table]
+    queries, order = np.argsort(lp, kind="stable"), np.argsort(rp, kind="stable")
+    low = np.searchsorted(rp[order], lp[queries] - proj.window, "left")
+    high = np.searchsorted(rp[order], lp[queries] + proj.window, "right")
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(queries), QUERIES):
+        some, span = queries[k : k + QUERIES], order[low[k] : high[min(k + QUERIES, len(queries)) - 1]]
+        near = lu[some] @ ru[span].T >= proj.threshold - 1e-9
+        i, j = np.nonzero(near)
+        inside = np.abs(lp[some[i]] - rp[span[j]]) <= proj.window
+        i, j = some[i[inside]], span[j[inside]]
         if right is None:
             i, j = i[i < j], j[i < j]
-        # Cheap part of the count first: tables before this one decide who reports the pair.
-        for part in np.array_split(np.arange(len(i)), max(1, len(i) * proj.tables // TABLES >> 16)):
-            a, b = i[part], j[part]
-            hit = (lb[a] == rb[b]) & (np.abs(lp[a] - rp[b]) <= proj.window)
-            take = (hit.sum(axis=1) >= proj.need) & ~hit[:, :table].any(axis=1)
-            a, b = a[take], b[take]
-            close = np.einsum("ij,ij->i", lu[a], ru[b]) >= proj.threshold
-            found_i.append(a[close])
-            found_j.append(b[close])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+        found_i.append(i)
+        found_j.append(j)
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    keep_i, keep_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 21) // max(proj.tables, lu.shape[1]))
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
+        (ra, at), (rb, bt) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        same = (proj.buckets(lu[ra])[at] == proj.buckets(ru[rb])[bt]) & (np.abs((lu[ra] @ proj.lines)[at] - (ru[rb] @ proj.lines)[bt]) <= proj.window)
+        same[:, table] = True  # this table has found the pair
+        take = (same.sum(axis=1) >= proj.need) & ~same[:, :table].any(axis=1)
+        a, b = a[take], b[take]
+        close = np.einsum("ij,ij->i", lu[a], ru[b]) >= proj.threshold
+        keep_i.append(a[close])
+        keep_j.append(b[close])
+    return np.concatenate(keep_i), np.concatenate(keep_j)
 
 
 def embedding_links(classes: DataFrame, threshold: float = 0.9, tables: int = TABLES, bucket: int = BUCKET, bits: int | None = None) -> DataFrame:
@@ -139,11 +146,19 @@ def embedding_links(classes: DataFrame, threshold: float = 0.9, tables: int = TA
     kind = dict(classes.dtypes)["embedding"]
     proj = Projections(stats["dim"], bits, threshold, tables)
 
-    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         step = max(1, 10_000 * TABLES // proj.tables)
         for batch in (b.slice(k, step) for b in it for k in range(0, b.num_rows, step)):
             unit = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
-            key = proj.buckets(unit) + (np.arange(proj.tables, dtype=np.int64) << 48)
+            yield batch, proj.buckets(unit) + (np.arange(proj.tables, dtype=np.int64) << 48)
+
+    def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key in keyed_rows(it):
+            names, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["key", "size"])
+
+    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, key in keyed_rows(it):
             flat = pa.array(np.repeat(np.arange(batch.num_rows), proj.tables))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *(batch.column(k).take(flat) for k in range(3))], names=["key", "class_id", "embedding", "members"])
 
@@ -184,7 +199,7 @@ def embedding_links(classes: DataFrame, threshold: float = 0.9, tables: int = TA
 
     keyed = classes.select("class_id", "embedding", "members").mapInArrow(keys, f"key long, class_id long, embedding {kind}, members long")
     # Only keys with more than a block of rows are split; those are few, and the vectors are shuffled once.
-    counts = classes.select("class_id", "embedding", "members").mapInArrow(keys, f"key long, class_id long, embedding {kind}, members long").groupBy("key").agg(F.count("*").alias("size"))
+    counts = classes.select("class_id", "embedding").mapInArrow(sizes, "key long, size long").groupBy("key").agg(F.sum("size").alias("size"))
     crowds = materialize(counts.where(F.col("size") > BLOCK), "buckets")
     crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
