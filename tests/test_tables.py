@@ -153,3 +153,48 @@ def test_ordered_sample(spark, parts):
             due[key] = due.get(key, 0) + 1
     assert sorted(got, key=str) == sorted(want, key=str)
     assert [r for r in got if r[0] == 4] == [(4, 960, 0, 0)]
+
+
+def test_roots(spark, tmp_path):
+    """Listings with change and creation times, errors as rows, bytes of the asked files only."""
+    from photarium.sources import roots
+
+    for name in ("a/x.JPG", "a/b/c/y.png", "a/note.txt", "z.webp", "z.jpeg", "noext", "a/jpg"):
+        (tmp_path / "one" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "one" / name).write_bytes(name.encode())
+    wanted = {"one": str(tmp_path / "one"), "gone": str(tmp_path / "gone")}
+    assets, errors = roots.list_roots(spark, wanted, shares=3)
+    rows = {r["path"]: r for r in assets.collect()}
+    assert sorted(rows) == ["a/b/c/y.png", "a/x.JPG", "z.jpeg", "z.webp"]
+    stat = os.stat(tmp_path / "one/a/x.JPG")
+    assert (rows["a/x.JPG"]["size"], rows["a/x.JPG"]["mtime"], rows["a/x.JPG"]["ctime"]) == (7, stat.st_mtime, stat.st_ctime)
+    assert [(r["backend"], r["path"]) for r in errors.collect()] == [("gone", None)]
+    assert sorted(r["path"] for r in roots.list_roots(spark, wanted, recursive=False)[0].collect()) == ["z.jpeg", "z.webp"]
+
+    named = assets.withColumn("photo_id", F.concat_ws(":", "backend", "path"))
+    os.remove(tmp_path / "one/z.webp")  # between listing and reading
+    listed = spark.createDataFrame([(f"one:{p}", r["abs_path"]) for p, r in rows.items()], "photo_id string, abs_path string")
+    asked = spark.createDataFrame([("one:a/x.JPG",), ("one:z.webp",), ("one:none",), ("one:a/x.JPG",)], "id string")
+    got = {r["photo_id"]: (bytes(r["content"]) if r["content"] else None, r["error"] and r["error"][:9]) for r in roots.asset_bytes(listed, asked).collect()}
+    assert got == {"one:a/x.JPG": (b"a/x.JPG", None), "one:z.webp": (None, "[Errno 2]"), "one:none": (None, "unknown")}
+    assert named.count() == 3
+
+
+def test_roots_stream(spark, tmp_path):
+    """A file comes once, and again when it has changed."""
+    from photarium.sources import roots
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        stream = roots.root_stream(spark, {"r": str(folder)}, settleSeconds=0, shares=2)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["path"], r["size"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (folder / "a.jpg").write_bytes(b"1")
+    assert run() == [("a.jpg", 1)]
+    (folder / "b.png").write_bytes(b"22")
+    assert run() == [("a.jpg", 1), ("b.png", 2)]
+    (folder / "a.jpg").write_bytes(b"333")
+    assert run() == [("a.jpg", 1), ("a.jpg", 3), ("b.png", 2)]
