@@ -17,6 +17,49 @@ TAGS = {
     "豹兽装": ["豹", "Furry", "兽装"], "熊兽装": ["熊", "Furry", "兽装"], "兔兽装": ["兔", "Furry", "兽装"], "龙兽装": ["龙", "Furry", "兽装"], "其他兽装": ["Furry", "兽装"],
 }
 
+# The labels of the three layers and how they are shown.
+LABELS = {
+    "a person wearing a fursuit or furry animal costume": "🦁 兽装人物",
+    "a normal person in casual clothing": "👤 普通人物",
+    "a real animal": "🐾 真实动物",
+    "a digital illustration or cartoon artwork": "🎨 插画/绘画",
+    "a landscape, building, or still object": "🏞 风景/物品",
+    "wolf fursuit": "🐺 狼兽装",
+    "fox fursuit": "🦊 狐狸兽装",
+    "dog fursuit": "🐶 犬兽装",
+    "cat fursuit": "🐱 猫兽装",
+    "tiger fursuit": "🐯 虎兽装",
+    "leopard fursuit": "🐆 豹兽装",
+    "bear fursuit": "🐻 熊兽装",
+    "rabbit fursuit": "🐰 兔兽装",
+    "dragon fursuit": "🐉 龙兽装",
+    "other species fursuit": "🐾 其他兽装",
+    "a close-up headshot portrait": "📷 大头照",
+    "a half-body portrait": "📷 半身照",
+    "a full-body standing photo": "📷 全身照",
+    "a group photo with multiple people": "👥 多人合照",
+    "a stage or convention performance photo": "🎪 舞台/展会",
+    "a selfie photo": "🤳 自拍",
+    "an indoor photo": "🏠 室内",
+    "an outdoor photo": "🌳 室外",
+}
+
+
+def shown_label(category: Column) -> Column:
+    """How a label is shown, sign and name; one that is not known is shown as it is."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[category], category)
+
+
+def label_name(category: Column) -> Column:
+    """The shown name without its sign: what a person picks and what tags hang on."""
+    return strip_emoji(shown_label(category))
+
+
+def human_categories(spark) -> DataFrame:
+    """``position, category``: the names a person may pick, in the order of the labels, each once."""
+    names = list(dict.fromkeys(x.split(" ", 1)[1] for x in LABELS.values()))
+    return spark.createDataFrame(list(enumerate(names)), "position int, category string")
+
 
 def route(category: Column, label: Column) -> Column:
     """person, fursuit or null; person wins."""

@@ -351,3 +351,27 @@ def validate_detections(rows: DataFrame, dim: int = 512) -> tuple[DataFrame, Dat
 
 def unnamed_groups(groups: DataFrame) -> DataFrame:
     return groups.where(F.trim(F.coalesce("name", F.lit(""))) == "")
+
+
+def merge_with_covers(detections: DataFrame, groups: DataFrame, pairs: DataFrame, target: str, sources: list[str], order: list[str] = KEY) -> dict[str, DataFrame]:
+    """``merge_groups`` over everything that hangs on the groups: ``detections, groups, pairs, log``.
+
+    ``groups`` has cover_image. A target without a cover ('' or null) gets the
+    first of its members after the merge, by ``order``; decisions that touch a merged group
+    go from ``pairs``; the log also keeps the target's cover as it was, for
+    ``undo_with_covers``.
+    """
+    moved, left, log = merge_groups(detections, groups, target, sources)
+    cover = default_covers(moved.where(F.col("group_id") == target), order)
+    bare = (F.col("id") == target) & (F.coalesce("cover_image", F.lit("")) == "")
+    filled = left.join(cover.withColumnRenamed("group_id", "id"), "id", "left").withColumn("cover_image", F.when(bare, F.coalesce("cover", F.lit(""))).otherwise(F.col("cover_image"))).select(*left.columns)
+    before = groups.where(F.col("id") == target).select(F.col("id").alias("target"), F.col("cover_image").alias("target_cover"))
+    return {"detections": moved, "groups": filled, "pairs": prune_decisions(pairs, log.select("id")), "log": log.join(before, "target")}
+
+
+def undo_with_covers(detections: DataFrame, groups: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``undo_merge``, and the target has the cover it had before."""
+    undone, restored = undo_merge(detections, groups, log.drop("target_cover"))
+    old = log.select(F.col("target").alias("id"), F.coalesce("target_cover", F.lit("")).alias("old_cover"), F.lit(1).alias("was")).distinct()
+    back = restored.join(old, "id", "left").withColumn("cover_image", F.when(F.col("was") == 1, F.col("old_cover")).otherwise(F.col("cover_image")))
+    return undone, back.select(*restored.columns)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from photarium.functions import labels
 from photarium.operators import dedup, identity
 from photarium.operators.chunked import ChunkedIndex
 from photarium.plans import reports, search
@@ -206,3 +208,40 @@ def chunked_index(spark, d):
     rows = max(100, a.count() // 5)
     index.build(a.where("doc_id % 2 = 0"), _coder, 2, "text", rows)
     return index.build(a, _coder, 2, "text", rows)
+
+
+_COVERED = "SELECT id, name, CASE WHEN id IN ('g00p', 'g03p') THEN '' ELSE concat('cover/', id) END AS cover_image FROM groups"
+
+
+@query(f"""+ c AS ({_COVERED}), m AS (SELECT *, CASE WHEN group_id IN ('g01p', 'g02p') THEN 'g00p' ELSE group_id END AS g FROM detections)
+SELECT 'group' AS kind, id, CASE WHEN id = 'g00p' THEN (SELECT arg_min(image_path, vec_id) FROM m WHERE g = 'g00p') ELSE cover_image END AS value FROM c WHERE id NOT IN ('g01p', 'g02p')
+UNION ALL SELECT 'undone', id, cover_image FROM c
+UNION ALL SELECT 'pair', id, 'g03p' FROM c WHERE id > 'g03p' AND id NOT IN ('g01p', 'g02p')
+UNION ALL SELECT 'member', CAST(vec_id AS STRING), g FROM m""", "groups", "detections")
+def merge_covers(spark, d):
+    """A merge fills the bare target's cover and drops decisions on merged groups; its undoing brings all covers back."""
+    det = table(spark, d, "detections")
+    groups = table(spark, d, "groups").withColumn("cover_image", F.when(F.col("id").isin("g00p", "g03p"), "").otherwise(F.concat(F.lit("cover/"), "id")))
+    told = groups.where("id > 'g03p'").select(F.lit("g03p").alias("a"), F.col("id").alias("b")).union(groups.where("id > 'g01p'").select(F.lit("g01p"), "id"))
+    made = identity.merge_with_covers(det, groups, told, "g00p", ["g01p", "g02p"], ["vec_id"])
+    back = identity.undo_with_covers(made["detections"], made["groups"], made["log"])[1]
+    out = made["groups"].select(F.lit("group").alias("kind"), "id", F.col("cover_image").alias("value")).union(back.select(F.lit("undone"), "id", "cover_image"))
+    return out.union(made["pairs"].select(F.lit("pair"), F.col("b"), F.col("a"))).union(made["detections"].select(F.lit("member"), F.col("vec_id").cast("string"), "group_id"))
+
+
+_NAMED = ", ".join(f"('{en}', '{shown}', '{shown.split(' ', 1)[1]}')" for en, shown in labels.LABELS.items())
+
+
+@query(f"""+ l(en, shown, cn) AS (VALUES {_NAMED}), a AS (SELECT doc_id, CASE WHEN doc_id % 24 = 23 THEN 'sculpture' ELSE (SELECT list(en) FROM l)[CAST(doc_id % 24 + 1 AS INT)] END AS category FROM assets)
+SELECT doc_id, coalesce(shown, category) AS shown, coalesce(cn, category) AS category FROM a LEFT JOIN l ON en = category""", "assets")
+def label_names(spark, d):
+    all_labels = F.array(*(F.lit(x) for x in labels.LABELS), F.lit("sculpture"))
+    rows = table(spark, d, "assets").select("doc_id", F.get(all_labels, (F.col("doc_id") % 24).cast("int")).alias("category"))
+    return rows.select("doc_id", labels.shown_label(F.col("category")).alias("shown"), labels.label_name(F.col("category")).alias("category"))
+
+
+@query("""SELECT name, created_at, row_number() OVER (ORDER BY created_at DESC, name) AS place FROM favorites ORDER BY place LIMIT 50""", "favorites")
+def newest_favorites(spark, d):
+    rows = catalog.list_favorites(table(spark, d, "favorites"), 50)
+    # Fifty rows.
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "name")))

@@ -243,3 +243,9 @@ def ordered_sample(df: DataFrame, key: str, t: str, interval: float, tolerance:
     after = i + 1 + taken(inside.rowsBetween(Window.unboundedPreceding, 0))
     rows = placed.withColumns({"sample_no": before, "after_": after}).where("after_ > sample_no")
     return rows.select(*df.columns, "sample_no", F.round(F.col(t) * 1000).cast("long").alias("at_ms"))
+
+
+def list_favorites(favorites: DataFrame, limit: int | None = None) -> DataFrame:
+    """Favourites, newest first; equal times by name."""
+    rows = favorites.orderBy(F.desc("created_at"), "name")
+    return rows if limit is None else rows.limit(limit)

@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from photarium.operators import vectors
 from photarium.operators.chunked import ChunkedIndex
-from photarium.plans.search import Dictionary, PREFIX
+from photarium.plans.search import PREFIX, Dictionary, sort_groups
 from photarium.sources import catalog
 from photarium.sources.detections import DetectionTable
 
@@ -198,3 +199,36 @@ def test_roots_stream(spark, tmp_path):
     assert run() == [("a.jpg", 1), ("b.png", 2)]
     (folder / "a.jpg").write_bytes(b"333")
     assert run() == [("a.jpg", 1), ("a.jpg", 3), ("b.png", 2)]
+
+
+def test_breaker(spark):
+    """Three failures in a row stop the partition; one in between doesn't."""
+    rows = [(k, "bad" if k in (1, 3, 4, 6, 7, 8) else "ok") for k in range(12)]
+    df = spark.createDataFrame(rows, "key int, content string").coalesce(1)
+
+    def load():
+        def one(text):
+            if text == "bad":
+                raise ValueError("no image")
+            return [1.0]
+
+        return one
+
+    got = {r["key"]: (r["vector"] is not None, r["error"]) for r in vectors.encode(df, load, "key", "content").collect()}
+    assert [k for k, v in got.items() if v[0]] == [0, 2, 5] and all(got[k][1] == "no image" for k in (1, 3, 4, 6, 7, 8))
+    assert all(got[k] == (False, "skipped: too many failures in a row") for k in (9, 10, 11))
+
+
+def test_group_orders(spark):
+    rows = [("a", "Zed", "character", 3, "2024-01-02"), ("b", "alf", "person", 5, "2024-01-01"), ("c", "Bo", "character", 5, "2024-01-03")]
+    view = spark.createDataFrame(rows, "id string, name string, type string, n_assets long, created_at string")
+    orders = {"count_desc": "bca", "count_asc": "abc", "name_asc": "bca", "name_desc": "acb", "updated_desc": "cab"}
+    assert {o: "".join(r["id"] for r in sort_groups(view, o).collect()) for o in orders} == orders
+    assert [r["id"] for r in sort_groups(view, "name_asc", "character", "Z").collect()] == ["a"]
+
+
+def test_catalog_lists(spark):
+    from photarium.functions.labels import human_categories
+
+    names = [r["category"] for r in human_categories(spark).orderBy("position").collect()]
+    assert len(names) == 23 and names[0] == "兽装人物" and names[-1] == "室外"
