@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photarium.llm.syntax import pairs
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # A run of a character class matches once, from its start, so its length can stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -51,9 +53,19 @@ PLACEHOLDERS = frozenset("changeme password secret token none null true false un
 THRESHOLD = 0.9
 
 
+def name_words(name: str) -> frozenset[str]:
+    """The parts of a name that have a weight; a plural counts as its singular."""
+    parts = {w.lower() for w in WORD.findall(name)}
+    parts |= {p[:-1] for p in parts if p[-1] == "s" and p not in SENSITIVE and p not in HARMLESS}
+    return frozenset(p for p in parts if p in SENSITIVE or p in HARMLESS)
+
+
+def words_score(words: frozenset[str]) -> float:
+    return max(0.0, sum(SENSITIVE.get(p, 0) + HARMLESS.get(p, 0) for p in sorted(words)))
+
+
 def name_score(name: str) -> float:
-    parts = [w.lower() for w in WORD.findall(name)]
-    return max(0.0, sum({p: SENSITIVE.get(p, 0) + HARMLESS.get(p, 0) for p in parts}.values()))
+    return words_score(name_words(name))
 
 
 def literal_score(value: str) -> float:
@@ -194,7 +206,9 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
     it means, the last one before the use or else the first after it, inherits
     the target's score. Scores are passed on until none rises, along any chain
     of names, so ``K = "x9..."`` scores for ``password = K``. Comments and
-    strings bind no names of the program.
+    strings bind no names of the program. What a value holds beyond its first
+    part, in brackets, behind operators, in tuples, attributes or blocks, is
+    read from tokens (``syntax.pairs``).
     """
     low = text.lower() if "=" in text or ":" in text or "</" in text else ""
     if not any(map(low.__contains__, SENSITIVE)):
@@ -237,6 +251,11 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
             worth = literal_score(value)
             if worth > 0.35 and x.score + worth * 0.6 >= threshold:
                 best.update(("literal", s, e) for s, e in spans if e > s)
+    for words, (start, stop) in pairs(text, name_words):
+        if stop > start and (own := words_score(words)) > 0:
+            worth = literal_score(text[start:stop])
+            if worth > 0.35 and own + worth * 0.6 >= threshold:
+                best.add(("literal", start, stop))
     return sorted(best, key=lambda s: s[1:])
 
 

@@ -594,3 +594,45 @@ def test_leaks_shared_id(spark, tmp_path):
     got = stages.drop_leaks(spark, df, str(tmp_path / "some")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a clean text under the same id"), (2, item[:40]), (None, "clean"), (3, None)]))
     assert stages.drop_leaks(spark, df, str(tmp_path / "none")).count() == len(rows)
+
+
+def test_secret_values():
+    """Brackets, lists, tuples, operators, conditions, attributes, CDATA, blocks and broken lines; time follows the length."""
+    import time
+
+    x = "zX81-qpLm7T2vR9w#"
+    found = lambda text: [text[s:e] for _, s, e in secrets.literal_spans(text)]
+    for text in (
+        'password = (\n    "{}"\n)', 'password = ["{}"]', '{{"password": ["{}"]}}', 'passwords = {{"x": "{}"}}', 'password = get("X") or "{}"', 'password = "a" if a else "{}"', 'password = x if a else "{}"', 'password = base + "{}"',
+        'user, password = "u", "{}"', '<add key="password" value="{}"/>', "<password><![CDATA[{}]]></password>", "password: |\n  {}\nnext: 1\n", 'password\n= "{}"', 'größe_password = "{}"', 'connect(user="u", password="{}")', 'self.password: str = "{}"',
+        'a = password = "{}"', 'const cfg = {{ db: {{ password: "{}" }} }};', 'password = os.getenv("A") ?? "{}"', 'let password = cond ? "no" : "{}";', '<input name="api_token" value="{}">',
+    ):
+        assert found(text.format(x)) == [x], text
+    assert found('He said the password: it was "Ab9-qpLm7T2vR8w#x" then') == []
+    assert found(f'{{"password": "no", "colour": "{x}"}}') == [] and found(f'password = None\ncolour = "{x}"') == []
+    for part in ("a[", "a=", "a(", "{", "a,", "a,b=", "'", "`", "<a ", "<a b=", "name: |\n ", "a.", "a->", "/*", "\\\n", '"""x', "a=b ", "<![CDATA[", "<a><![CDATA[]", "password=("):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            secrets.literal_spans("password " + part * n + "=")
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, part
+
+
+def test_op3_sql(spark):
+    """The registered query against its SQL."""
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    want = duck.sql(decontamination.ORACLE)
+    got = decontamination.op3_decontamination(spark, DIR)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, [_named(want.columns, r) for r in want.fetchall()]))
+
+
+def _named(columns, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(columns, values)))
