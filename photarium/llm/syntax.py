@@ -110,7 +110,7 @@ def program_pairs(text: str, words: Callable[[str], Words]) -> Iterator[Pair]:
             if frame.targets:
                 if m[0] in JOINING:
                     frame.bare = None
-                elif frame.bare and not frame.typed:
+                elif frame.bare:
                     frame.targets, frame.left = [], [(m[0], None)]  # prose
                 else:
                     frame.bare = m[0]
