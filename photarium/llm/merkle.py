@@ -240,6 +240,7 @@ def manifest(docs: DataFrame, by: str = "lang", id_col: str = "doc_id", fields:
     own = leaf_digest(fields)
     rows = docs.select(tree.alias("tree"), F.col(id_col).alias("doc_id"), own.alias("leaf"), (own if presented is None else F.coalesce(presented, own)).alias("shown"))
     kind = dict(rows.dtypes)["doc_id"]
+    rows = materialize(rows, "digests")  # texts are hashed once, ranges are found on digests
     placed = numbered(rows, ["doc_id", "leaf", "shown"], "leaves").withColumn("block", F.floor(F.col("idx") / FAN**levels))
 
     def fold(table: pa.Table) -> pa.Table:
