@@ -54,3 +54,28 @@ def test_quality_links(spark, monkeypatch, threshold):
         assert [got[k] for k in range(len(rows) + len(odd))] == components(len(rows), near) + [k for k, *_ in odd]
     same = spark.createDataFrame([(k, *rows[0][1:]) for k in range(500)], DDL)
     assert dedup.quality_links(same, "k", threshold).count() <= 500 * grid.BLOCKS
+
+
+def test_near_duplicate_groups(spark, monkeypatch):
+    """Groups, sizes and scores against all pairs, with ignored pairs, over one block and several; equal prints cost no pairs."""
+    rows = prints(np.random.default_rng(5), 25, 10, 30)
+    h, v, g = [r[1] % (1 << 64) for r in rows], *(np.array([r[n] for r in rows]) for n in (2, 3))
+    d = np.array([[1 - (a ^ b).bit_count() / 64 for b in h] for a in h])
+    score = 0.45 * d + 0.25 * np.maximum(0, 1 - np.abs(v[:, None] - v[None]).sum(axis=2) / 2) + 0.30 * np.clip(g @ g.T, 0, 1)
+    ok = {(a, b) for b in range(len(rows)) for a in range(b) if d[a, b] >= 0.78 and (score[a, b] >= 0.93 or d[a, b] >= 0.96)}
+    ignored = sorted(ok)[::3]
+    df = spark.createDataFrame(rows, DDL)
+    for alone, gone in ((4096, []), (1, []), (4096, ignored), (1, ignored)):
+        monkeypatch.setattr(grid, "ALONE", alone)
+        left = ok - set(gone)
+        label, want = np.array(components(len(rows), left)), {}
+        for c in set(label):
+            members = np.flatnonzero(label == c).tolist()
+            if len(members) > 1:
+                some = [score[p] for p in left if p[0] in members[:8] and p[1] in members[:8]]
+                want |= {m: (c, len(members), round(float(np.mean(some)) if some else 0.0, 6)) for m in members[:8]}
+        asked = spark.createDataFrame([(b, a) for a, b in gone], "x long, y long") if gone else None
+        got = dedup.near_duplicate_groups(df, "k", asked, 0.93, 0.96).collect()
+        assert {r["k"]: (r["group_id"], r["group_size"], round(r["score"], 6)) for r in got} == want
+    same = spark.createDataFrame([(k, *rows[0][1:]) for k in range(500)], DDL)
+    assert dedup.combined_links(same, 14, 0.86, 0.9).count() <= 500 * grid.BLOCKS
