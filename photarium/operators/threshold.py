@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photarium.operators.grid import block_count, grid_links, near_units, products
 from photarium.operators.vectors import PRODUCT, l2_norm, matrix_of, unit, units
 from photarium.sources.scratch import materialize
 
@@ -19,6 +20,10 @@ CELL_ROWS = 2048
 PIVOT_ROWS, PIVOT_CELLS = 256, 4_000_000
 #: Angles are compared with this slack, so that rounding loses no pair.
 SLACK = 1e-6
+#: Rows by which it is told how many cells a row visits.
+ASKED_ROWS = 4096
+
+
 class Cells:
     """Vectors of one length, dealt so that each pair that can reach the threshold meets in one cell.
 
@@ -37,6 +42,7 @@ class Cells:
         rows = materialize(rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))), "vectors")
         self.keyed = rows.select("k").limit(0).toArrow().schema.types[0]
         n = rows.count()
+        self.rows, self.n = rows, n
         pivots = pivots or max(1, min(math.ceil(n / PIVOT_ROWS), PIVOT_CELLS // dim))
         picked = rows.orderBy(F.xxhash64("k"), "k").limit(pivots).select("v").toArrow()  # a bounded sample
         heads = units(matrix_of(picked["v"], dim)) if picked.num_rows else np.zeros((1, dim))
@@ -75,9 +81,26 @@ class Cells:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t.tolist() for t in targets], pa.list_(pa.int64()))], names=["k", "v", "targets"])
 
         spread = placed.select("k", "v", "cell", F.pmod(F.xxhash64("k"), F.lit(1 << 40)).alias("part"))
-        dealt = spread.mapInArrow(deal, f"k {kind}, v array<double>, targets array<long>")
+        shape = f"k {kind}, v array<double>, targets array<long>"
+        dealt = spread.mapInArrow(deal, shape)
+        self.asked = spread.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(max(1, n // ASKED_ROWS))) == 0).mapInArrow(deal, shape)
         self.dealt = dealt.select("k", "v", F.posexplode("targets").alias("pos", "cell")).select("cell", (F.col("pos") > 0).alias("visitor"), "k", "v")
 
+    def pruned(self) -> bool:
+        """Whether rows travel less often by cells than in a grid of blocks; told by a bounded sample, the links are the same."""
+        visits = self.asked.agg(F.avg(F.size("targets"))).first()[0]
+        return (visits or 0) <= block_count(self.n, 32 + 8 * self.dim)
+
+    def grid(self) -> DataFrame:
+        """``links`` over a grid of blocks, for vectors between which pivots tell little."""
+        minimum, dim = self.minimum, self.dim
+
+        def prepare(table: pa.Table) -> tuple:
+            x = units(matrix_of(table["v"], dim))
+            return near_units(x, minimum), lambda i, j: products(x, i, j) >= minimum
+
+        return grid_links(self.rows, self.n, 32 + 8 * self.dim, prepare)
+
     def compared(self) -> DataFrame:
         """``cell, own, visitors, pairs``: what each task compares."""
         counts = self.dealt.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("own"), F.count_if("visitor").alias("visitors"))
@@ -213,11 +236,13 @@ def threshold_links(vectors: DataFrame, key: str, vec: str, minimum: float, pivo
 
     The cells of ``threshold_pairs``, but of each cell only what joins its
     components: at most one row for each row it holds and each that passes by.
+    Where a row would visit more cells than there are blocks in a grid, all pairs
+    of blocks are compared instead (``Cells.pruned``), unless ``pivots`` are given.
     Of equal vectors one takes part, the others are linked to it.
     """
     kind, rows = dict(vectors.dtypes)[key], vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where(F.size(vec) > 0)
     distinct = materialize(rows.groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")), "distinct")
-    links = [c.links() for c in threshold_cells(distinct.select("k", "v"), "k", "v", minimum, pivots)]
+    links = [c.links() if pivots or c.pruned() else c.grid() for c in threshold_cells(distinct.select("k", "v"), "k", "v", minimum, pivots)]
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
     some = F.exists("v", lambda x: x != 0) if minimum > 0 else F.lit(True)
     repeats = rows.join(distinct.where("n > 1").where(finite & some).select(F.col("v").alias("w"), F.col("k").alias("first")), F.col("v") == F.col("w")).where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from photarium.operators import dedup, grid
+from photarium.operators import dedup, graph, grid, threshold
 
 
 def components(n, pairs):
@@ -79,3 +79,21 @@ def test_near_duplicate_groups(spark, monkeypatch):
         assert {r["k"]: (r["group_id"], r["group_size"], round(r["score"], 6)) for r in got} == want
     same = spark.createDataFrame([(k, *rows[0][1:]) for k in range(500)], DDL)
     assert dedup.combined_links(same, 14, 0.86, 0.9).count() <= 500 * grid.BLOCKS
+
+
+def test_threshold_links_without_pruning(spark, monkeypatch):
+    """Vectors that pivots don't part travel once for each block, and what all pairs connect is connected."""
+    x = np.random.default_rng(7).normal(size=(1500, 16))
+    x[1000:] = x[:500] + np.random.default_rng(8).normal(size=(500, 16)) * 0.3
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.argwhere(np.triu(u @ u.T >= 0.75, 1)).tolist()
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0]), (5004, x[0].tolist())]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + odd, "k long, v array<double>")
+    monkeypatch.setattr(grid, "ALONE", 1)
+    monkeypatch.setattr(threshold, "PIVOT_ROWS", 20)
+    (cells,) = [c for c in threshold.threshold_cells(df, "k", "v", 0.75) if c.dim == 16]
+    assert not cells.pruned() and cells.dealt.count() > 2 * grid.BLOCKS * len(x)
+    got = dict(map(tuple, graph.connected_components(df.select("k"), threshold.threshold_links(df, "k", "v", 0.75)).collect()))
+    want = components(len(x), near)
+    assert [got[k] for k in range(len(x))] == want and got[5004] == want[0] and all(got[k] == k for k in range(5000, 5004))
+    assert threshold.threshold_links(df, "k", "v", 0.75).count() <= grid.BLOCKS * len(x) + 1
