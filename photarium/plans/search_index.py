@@ -13,6 +13,8 @@ GRAM = 3
 BROAD = 10_000
 #: Ranges of the ordered scan: this many more at each turn.
 WIDER = 8
+#: Entries of one range, about.
+PART_ROWS = 1 << 14
 #: Queries that are broadcast.
 QUERIES = 10_000
 
@@ -34,10 +36,12 @@ class SubstringIndex:
     ``build`` writes the tables once; they serve any number of searches and any
     filter. A query is looked up by its rarest gram, whose entries are tested for
     the whole query; nothing else is read (both tables are sorted, so Parquet skips
-    what lies between). A query whose rarest gram has more than ``broad`` entries,
-    or an empty one, is likely to find its hits early: it scans the entries in
-    order, range by range, until it has enough. Either way the hits are those of
-    testing every entry.
+    what lies between). A query whose rarest gram has more than ``broad`` entries
+    is likely to find its hits early: it scans the entries in order, range by
+    range, until it has enough, and so do all queries if their lookups together
+    would fetch more than there are entries. A scan tests the entries that hold a
+    query's rarest gram. Equal queries are answered once. Either way the hits are
+    those of testing every entry.
     """
 
     def __init__(self, entries: DataFrame, postings: DataFrame, counts: DataFrame):
@@ -49,7 +53,8 @@ class SubstringIndex:
         spark = rows.sparkSession
         path = path or scratch_path(spark, "search-index")
         text = F.lower(F.coalesce(F.col(haystack), F.lit("")))
-        ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"hay_": text, "no_": F.monotonically_increasing_id(), "part_": F.spark_partition_id()})
+        parts = max(1, -(-rows.count() // PART_ROWS))
+        ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"hay_": text, "no_": F.monotonically_increasing_id(), "part_": F.spark_partition_id()})
         entries = materialize(ranged, "entries", f"{path}/entries")
         grams = entries.select("no_", F.explode(F.concat(*(_grams(F.col("hay_"), n) for n in range(1, GRAM + 1)))).alias("gram"))
         postings = materialize(grams.repartitionByRange("gram", "no_").sortWithinPartitions("gram", "no_"), "postings", f"{path}/postings")
@@ -75,27 +80,32 @@ class SubstringIndex:
         ``queries``: query_id (unique), text; case and blanks around don't count,
         an empty or null text matches everything. Equal entries are all found.
         """
-        asked = materialize(self.planned(queries), "asked")
-        kept = self.entries if where is None else self.entries.where(where)
-        narrow = asked.where(F.col("n").between(1, broad))
-        met = self.postings.join(bounded(narrow, QUERIES), "gram").select("query_id", "text", "no_")
-        found = kept.join(met, "no_").where(F.contains("hay_", "text"))
-        hits = self._ranked(found, limit)
-        wide = asked.where((F.col("n") > broad) | F.col("n").isNull()).select("query_id", "text")
+        queries = materialize(queries.select("query_id", normal(F.col("text")).alias("text")), "queries")
+        asked = materialize(self.planned(queries.select(F.col("text").alias("query_id"), "text").distinct()).select("text", "gram", "n"), "asked")
+        kept = (self.entries if where is None else self.entries.where(where)).select("no_", "part_", "hay_")
+        narrow = F.col("n").between(1, broad)
+        if (asked.where(narrow).agg(F.sum("n")).first()[0] or 0) > self.entries.count():
+            narrow = F.lit(False)  # together they would fetch more than a scan reads
+        met = self.postings.join(bounded(asked.where(narrow), QUERIES), "gram").select("text", "no_")
+        hits = self._ranked(kept.join(met, "no_").where(F.contains("hay_", "text")).select("text", "no_"), limit)
+        first = kept.select("no_").orderBy("no_").limit(limit)
+        hits = hits.unionByName(self._ranked(asked.where("gram IS NULL").select("text").crossJoin(first), limit))  # the empty text, if asked
         parts = self.entries.agg(F.max("part_")).first()[0]
         low, high = -1, 0
-        left = materialize(wide, "wide")
-        while parts is not None and low < parts and left.limit(1).count():
-            some = kept.where((F.col("part_") > low) & (F.col("part_") <= high)).join(bounded(left, QUERIES), F.contains("hay_", "text"))
-            # What a query lacks is told by the hits of the ranges before.
-            some = materialize(self._ranked(some, limit), "scanned")
+        left = materialize(asked.where(~narrow & (F.col("n") > 0)).select("text", "gram", F.lit(0).cast("long").alias("got")), "wide")
+        while parts is not None and low < parts and (sizes := sorted(r[0] for r in left.select(F.length("gram")).distinct().collect())):
+            some = kept.where((F.col("part_") > low) & (F.col("part_") <= high))
+            some = some.select("no_", "hay_", F.explode(F.concat(*(_grams(F.col("hay_"), n) for n in sizes))).alias("gram"))
+            some = some.join(bounded(left.select("text", "gram"), QUERIES), "gram").where(F.contains("hay_", "text"))
+            some = materialize(self._ranked(some.select("text", "no_"), limit), "scanned")
             hits = hits.unionByName(some)
-            counts = some.groupBy("query_id").agg(F.count("*").alias("got"))
-            lacks = left.join(counts, "query_id", "left").where(F.coalesce("got", F.lit(0)) < limit).select("query_id", "text")
-            left, low, high = materialize(lacks, "wide"), high, (high + 1) * WIDER
-        return self._ranked(hits.drop("rank"), limit).drop("no_", "part_", "hay_", "text")
+            counts = some.groupBy("text").agg(F.count("*").alias("more"))
+            left = left.join(counts, "text", "left").select("text", "gram", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"))
+            left, low, high = materialize(left.where(F.col("got") < limit), "wide"), high, (high + 1) * WIDER
+        found = materialize(self._ranked(hits.drop("rank"), limit), "hits")
+        return queries.join(found, "text").join(self.entries, "no_").drop("no_", "part_", "hay_", "text")
 
     @staticmethod
     def _ranked(found: DataFrame, limit: int) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("no_"))
+        rank = F.row_number().over(Window.partitionBy("text").orderBy("no_"))
         return found.withColumn("rank", rank).where(F.col("rank") <= limit)

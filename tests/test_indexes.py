@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photarium.operators import dedup, identity, threshold, vectors
+from photarium.plans import search_index
 from photarium.plans.search_index import SubstringIndex
 
 
@@ -190,3 +191,24 @@ def test_threshold_lsh(spark):
     found = {(r["a"], r["b"]): r["similarity"] for r in threshold.threshold_pairs_lsh(df, "k", "v", 0.9).collect()}
     assert set(found) <= set(exact) and len(found) >= 0.95 * len(exact) > 500
     assert all(abs(exact[k] - s) < 1e-9 for k, s in found.items())
+
+
+@pytest.mark.parametrize("broad", [3, 10_000])
+def test_equal_queries_are_answered_once(spark, monkeypatch, broad):
+    """Many equal queries cost their results, not their matches: what is ranked and written are texts."""
+    monkeypatch.setattr(search_index, "PART_ROWS", 100)
+    written = []
+    keep = search_index.materialize
+    monkeypatch.setattr(search_index, "materialize", lambda df, name, path=None: written.append((name, out := keep(df, name, path))) or out)
+    rows = spark.range(1000).selectExpr("id", "concat('photo_', id, '.jpg') AS name")
+    index = SubstringIndex.build(rows, "name", ["id"])
+    assert index.entries.select("part_").distinct().count() > 5
+    texts = ["photo", "", "_99", "0.j", None]
+    asked = spark.range(500).selectExpr("id AS query_id", f"array({', '.join('NULL' if t is None else repr(t) for t in texts)})[id % {len(texts)}] AS text")
+    got = {}
+    for r in index.search(asked, 4, broad=broad).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    for q in range(500):
+        hits = [k for k in range(1000) if (texts[q % len(texts)] or "") in f"photo_{k}.jpg"][:4]
+        assert sorted(got[q]) == list(enumerate(hits, 1))
+    assert all(df.count() <= 4 * 4 for name, df in written if name in ("asked", "wide", "scanned", "hits"))
