@@ -1,9 +1,10 @@
 """Links over a grid of blocks: what all pairs connect, without a list of pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from photarium.operators import dedup, graph, grid, threshold
+from photarium.operators import dedup, graph, grid, threshold, vectors
 
 
 def components(n, pairs):
@@ -97,3 +98,13 @@ def test_threshold_links_without_pruning(spark, monkeypatch):
     want = components(len(x), near)
     assert [got[k] for k in range(len(x))] == want and got[5004] == want[0] and all(got[k] == k for k in range(5000, 5004))
     assert threshold.threshold_links(df, "k", "v", 0.75).count() <= grid.BLOCKS * len(x) + 1
+
+
+def test_topk_passes_on_few_rows(spark):
+    """A task passes on what is among its best so far, not the best of each slice."""
+    x = np.random.default_rng(2).normal(size=(4000, 3))
+    q, top, passed = np.random.default_rng(3).normal(size=(5, 3)), np.full((2, 5), -np.inf), 0
+    for k in range(0, len(x), 20):
+        i, who, sim = vectors._best_of_block(pa.array(range(k, k + 20)), x[k : k + 20], q, np.arange(5), {}, top, None)
+        passed += len(i)
+    assert np.allclose(np.sort(top, axis=0), np.sort(x @ q.T, axis=0)[-2:]) and passed < 0.2 * 2 * 5 * 200
