@@ -100,6 +100,29 @@ def test_threshold_links_without_pruning(spark, monkeypatch):
     assert threshold.threshold_links(df, "k", "v", 0.75).count() <= grid.BLOCKS * len(x) + 1
 
 
+def test_similar_assets(spark, monkeypatch):
+    """The likest of each query by brute force, over several blocks of assets and queries, with odd rows."""
+    rows = prints(np.random.default_rng(11), 12, 8, 30)
+    rows += [(100, 5, None, rows[0][3]), (101, 5, rows[0][2], None), (102, None, rows[0][2], rows[0][3]), (103, 5, [-0.5, 1.5] + [0.0] * 4, rows[1][3]), (104, 5, [0.5, 0.5], [1.0]), (105, 5, [9.0] * 6, rows[2][3])]
+    monkeypatch.setattr(dedup, "SIDE_BYTES", 4000)
+
+    def sim(a, b):
+        d = 1 - ((a[1] ^ b[1]) % (1 << 64)).bit_count() / 64
+        color = max(0.0, min(1.0, 1 - sum(abs(x - y) for x, y in zip(a[2], b[2])) / 2)) if a[2] and b[2] and len(a[2]) == len(b[2]) else 0.0
+        if a[3] is None or b[3] is None:
+            return 0.7 * d + 0.3 * color
+        return 0.45 * d + 0.25 * color + 0.3 * (max(0.0, min(1.0, sum(x * y for x, y in zip(a[3], b[3])))) if len(a[3]) == len(b[3]) else 0.0)
+
+    want = []
+    for a in rows:
+        if a[1] is not None and a[0] % 3 < 2:
+            best = sorted((-sim(a, b), b[0]) for b in rows if b[1] is not None and b[0] != a[0])
+            want += [(a[0], k, n, round(-s, 6)) for n, (s, k) in enumerate(best[:5], 1) if -s >= 0.5]
+    df = spark.createDataFrame(rows, DDL)
+    got = dedup.similar_assets(df, df.where("k % 3 < 2").select("k"), "k", 5, 0.5).collect()
+    assert sorted((r["query"], r["key"], r["rank"], round(r["similarity"], 6)) for r in got) == sorted(want)
+
+
 def test_topk_passes_on_few_rows(spark):
     """A task passes on what is among its best so far, not the best of each slice."""
     x = np.random.default_rng(2).normal(size=(4000, 3))
