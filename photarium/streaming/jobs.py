@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,26 +28,32 @@ def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], No
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
-def _first_seen(ttl_ms: int | None):
-    """Rows of one content and its record: the key it was first seen with, and when it last came (kept with a ``ttl_ms`` only)."""
+def _first_seen(ttl_ms: int):
+    """Rows of one content and its record: the key it was first seen with, and when it last came."""
 
     def run(content: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.getCurrentProcessingTimeMs() if ttl_ms else 0
+        now = state.getCurrentProcessingTimeMs()
         first, last = state.get if state.exists else (None, None)
         keys = [k for some in rows for k in some["key"].tolist()]
-        if last is None or (ttl_ms and now - last >= ttl_ms):
+        if last is None or now - last >= ttl_ms:
             first = min(keys)
             yield pd.DataFrame({"key": [first], "content": [content[0]]})
         state.update((first, now))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutDuration(ttl_ms)
 
     return run
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their micro-batch, which Spark hands to every task; a replayed batch has the same."""
+    number = int(TaskContext.get().getLocalProperty("streaming.sql.batchId"))
+    for batch in batches:
+        yield batch.append_column("batch", pa.array([number] * batch.num_rows, pa.int64()))
+
+
 @contextmanager
 def _state_settings(spark):
     """State on RocksDB; and no batches without data, since an open timeout would ask for them without end."""
@@ -66,15 +74,21 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "doc_
     Within a batch the smallest key wins, across batches the earlier batch. Each
     content has a record of the key it was first seen with, in keyed state on
     RocksDB, so that neither clocks nor replays decide, and a batch touches its own
-    contents only. With ``ttl_ms`` a record goes once its content has not come
-    for so long, which bounds the state; a copy that comes later is first again.
-    A row without a hash is a content of its own, as in a batch.
+    contents only. The record is the least pair of batch number and key, kept by
+    Spark's own aggregation; a content is new if its first batch is its last. With
+    ``ttl_ms`` a record goes once its content has not come for so long, which bounds
+    the state; a copy that comes later is first again. Such records take a Python
+    call a content. A row without a hash is a content of its own, as in a batch.
     """
     kind = dict(stream.dtypes)[key]
     rows = stream.select(F.col(key).alias("key"), content_key(md5, key).alias("content"))
     with _state_settings(stream.sparkSession):
-        timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-        seen = rows.groupBy("content").applyInPandasWithState(_first_seen(ttl_ms), f"key {kind}, content string", f"first {kind}, last long", "update", timeout)
+        if ttl_ms:
+            seen = rows.groupBy("content").applyInPandasWithState(_first_seen(ttl_ms), f"key {kind}, content string", f"first {kind}, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        else:
+            numbered = rows.mapInArrow(_numbered, f"key {kind}, content string, batch long")
+            kept = numbered.groupBy("content").agg(F.min(F.struct("batch", "key")).alias("first"), F.max("batch").alias("last"))
+            seen = kept.where("first.batch = last").select("first.key", "content")
 
         def step(batch: DataFrame, number: int) -> None:
             hashed = F.when(F.col("content").startswith("md5:"), F.substring("content", 5, 1 << 30))

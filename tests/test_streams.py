@@ -114,3 +114,22 @@ def test_ingest_stream_state(spark, tmp_path):
     first = run([(20, "c")], ttl_ms=1)
     time.sleep(0.1)
     assert (20, "c") in first and (21, "c") in run([(21, "c")], ttl_ms=1)
+
+
+def test_ingest_stream_without_expiry(spark, tmp_path):
+    """Spark's own aggregation keeps the records, also of smaller keys that come late and of a replayed batch; no Python call a content."""
+    schema, out, log = "doc_id long, md5 string", str(tmp_path / "out"), str(tmp_path / "log")
+
+    def run(rows):
+        query = jobs.ingest_stream(feed(spark, tmp_path / "in", rows, schema), out, log)
+        query.awaitTermination()
+        assert [s.operatorName for p in query.recentProgress for s in p.stateOperators if s.numRowsUpdated] [:1] == ["stateStoreSave"]
+        return sorted((r["doc_id"], r["md5"]) for r in spark.read.schema(schema).parquet(out).select("doc_id", "md5").collect())
+
+    first = [(4, "a"), (7, None), (8, None)]
+    assert run([(5, "a"), (4, "a"), (7, None), (8, None)]) == first
+    assert run([(1, "a"), (9, "b"), (7, None)]) == [*first, (9, "b")]
+    last = max(glob.glob(f"{log}/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
+    os.remove(last)
+    os.remove(f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc")
+    assert run([(2, "b"), (3, "c")]) == [(3, "c"), *first, (9, "b")]
