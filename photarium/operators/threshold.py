@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photarium.operators.grid import block_count, grid_links, near_units, products
+from photarium.operators.grid import Test, block_count, grid_links, near_units, products
 from photarium.operators.vectors import PRODUCT, l2_norm, matrix_of, unit, units
 from photarium.sources.scratch import materialize
 
@@ -89,7 +89,7 @@ class Cells:
     def pruned(self) -> bool:
         """Whether rows travel less often by cells than in a grid of blocks; told by a bounded sample, the links are the same."""
         visits = self.asked.agg(F.avg(F.size("targets"))).first()[0]
-        return (visits or 0) <= block_count(self.n, 32 + 8 * self.dim)
+        return (visits or 0) <= block_count(self.n, self.row_bytes())
 
     def grid(self) -> DataFrame:
         """``links`` over a grid of blocks, for vectors between which pivots tell little."""
@@ -97,9 +97,14 @@ class Cells:
 
         def prepare(table: pa.Table) -> tuple:
             x = units(matrix_of(table["v"], dim))
-            return near_units(x, minimum), lambda i, j: products(x, i, j) >= minimum
+            return x.astype(np.float32), x
 
-        return grid_links(self.rows, self.n, 32 + 8 * self.dim, prepare)
+        test = Test(prepare, lambda one, two: near_units(one[0], two[0], minimum), lambda one, two, i, j: products(one[1], two[1], i, j) >= minimum)
+        return grid_links(self.rows, self.n, self.row_bytes(), test)
+
+    def row_bytes(self) -> int:
+        """Of a row that a task of the grid holds: in double and in single precision."""
+        return 32 + 12 * self.dim
 
     def compared(self) -> DataFrame:
         """``cell, own, visitors, pairs``: what each task compares."""

@@ -131,3 +131,39 @@ def test_topk_passes_on_few_rows(spark):
         i, who, sim = vectors._best_of_block(pa.array(range(k, k + 20)), x[k : k + 20], q, np.arange(5), {}, top, None)
         passed += len(i)
     assert np.allclose(np.sort(top, axis=0), np.sort(x @ q.T, axis=0)[-2:]) and passed < 0.2 * 2 * 5 * 200
+
+
+@pytest.mark.parametrize("alone", [4096, 1])
+def test_rows_pass_by(spark, monkeypatch, alone):
+    """A task takes a few rows at a time, and what all pairs connect is connected, without banned pairs."""
+    x = np.random.default_rng(13).normal(size=(900, 8))
+    x[600:] = x[:300] + np.random.default_rng(14).normal(size=(300, 8)) * 0.2
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = [tuple(p) for p in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()]
+    bans = near[::3]
+
+    def prepare(rows):
+        assert len(rows) <= 20
+        return (vectors.units(grid.matrix(rows["v"])),)
+
+    test = grid.Test(prepare, lambda one, two: grid.near_units(one[0], two[0], 0.9), lambda one, two, i, j: grid.products(one[0], two[0], i, j) >= 0.9)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    monkeypatch.setattr(grid, "ALONE", alone)
+    for gone in ([], bans):
+        asked = spark.createDataFrame([(b, a) for a, b in gone], "x long, y long") if gone else None
+        links = grid.grid_links(df, len(x), grid.PASSING // 20, test, asked)
+        got = dict(map(tuple, graph.connected_components(df.select("k"), links).collect()))
+        assert [got[k] for k in range(len(x))] == components(len(x), set(near) - set(gone))
+
+
+def test_a_task_holds_one_block():
+    """Of rows that pass by a held block nothing stays but keys and components."""
+    x = np.random.default_rng(15).normal(size=(1000, 64))
+    rows = lambda n: pa.table({"k": np.arange(n, n + 1000), "v": pa.array(list(x + n), pa.list_(pa.float64()))})
+    test = grid.Test(lambda t: (vectors.units(grid.matrix(t["v"])),), lambda one, two: iter(()), lambda one, two, i, j: i < j)
+    before, meeting = pa.total_allocated_bytes(), grid.Meeting(test)
+    meeting.add(rows(0), stay=True, meet=False)
+    for n in range(1, 41):
+        meeting.add(rows(1000 * n), stay=False, meet=True)
+    assert [len(one[0]) for _, one in meeting.held] == [1000] and len(meeting.forest.top) == 41_000
+    assert pa.total_allocated_bytes() - before < 41_000 * 8 * 2  # the vectors are 21 MB
