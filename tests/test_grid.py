@@ -167,3 +167,9 @@ def test_a_task_holds_one_block():
         meeting.add(rows(1000 * n), stay=False, meet=True)
     assert [len(one[0]) for _, one in meeting.held] == [1000] and len(meeting.forest.top) == 41_000
     assert pa.total_allocated_bytes() - before < 41_000 * 8 * 2  # the vectors are 21 MB
+
+
+@pytest.mark.parametrize("row_bytes", [64 + 8 * 128, 320 + 12 * 64, 32 + 12 * 64])
+def test_rows_travel_alike(row_bytes):
+    """Up to 800,000 prints or vectors of 64 dimensions a row travels as often as of a few."""
+    assert grid.block_count(5000, row_bytes) == grid.block_count(800_000, row_bytes) == grid.BLOCKS
